@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecloom.llm import clusters, neighbours
+from vecloom.llm import clusters, leaks, neighbours, tokens
 from vecloom.session import read_table
 
 
@@ -27,6 +27,22 @@ def p4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select(F.col("id").alias("query_id"), F.posexplode(F.arrays_zip("near", "score")).alias("rank", "n")).select("query_id", "rank", F.col("n.near").alias("vector_id"), "n.score")
 
 
+def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document by byte_bpe_50k."""
+    return tokens.token_ids(read_table(spark, sf_dir, "documents"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with at least 13 consecutive words of a test item."""
+    found = leaks.leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), length=13)
+    return found.select("doc_id", "item_id").distinct()
+
+
+def p7_reordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in which runs of at least 5 words cover half of a test item, in whatever order."""
+    return leaks.leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), length=5, least_coverage=0.5)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1].isdigit()}
 
