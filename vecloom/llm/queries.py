@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecloom.llm import clusters, leaks, neighbours, tokens
+from vecloom.llm import clusters, leaks, near_duplicates, neighbours, tokens
 from vecloom.session import read_table
 
 
@@ -27,6 +27,21 @@ def p4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select(F.col("id").alias("query_id"), F.posexplode(F.arrays_zip("near", "score")).alias("rank", "n")).select("query_id", "rank", F.col("n.near").alias("vector_id"), "n.score")
 
 
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read_table(spark, sf_dir, "documents").select(F.lit("document").alias("kind"), F.col("doc_id").alias("key"), "text")
+    return documents.unionByName(read_table(spark, sf_dir, "chunks").select(F.lit("chunk").alias("kind"), F.col("vector_id").alias("key"), "text"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of documents and pairs of chunks that share at least 0.7 of their word triples."""
+    return near_duplicates.duplicate_pairs(_texts(spark, sf_dir)).withColumnRenamed("kind", "record_kind")
+
+
+def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and chunk that recurs, with its group and its number of links."""
+    return near_duplicates.duplicate_groups(_texts(spark, sf_dir)).withColumnRenamed("kind", "record_kind")
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document by byte_bpe_50k."""
     return tokens.token_ids(read_table(spark, sf_dir, "documents"))
