@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecloom.llm import clusters, leaks, near_duplicates, neighbours, tokens
+from vecloom.llm import clusters, leaks, near_duplicates, neighbours, pieces, tokens
 from vecloom.session import read_table
 
 
@@ -16,6 +16,20 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.similarity_clusters(read_table(spark, sf_dir, "vectors")).select("id", "typical_id")
 
 
+def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents over 6,000 code points and chunks over 120 words as overlapping pieces."""
+    kind = F.col("kind")
+    texts = _texts(spark, sf_dir)
+    documents = pieces.split_oversized(texts.where(kind == "document"), "characters", pieces.DOCUMENT_LIMIT, pieces.DOCUMENT_OVERLAP)
+    chunks = pieces.split_oversized(texts.where((kind == "chunk") & (pieces.text_size("words") > pieces.CHUNK_LIMIT)).distinct(), "words", pieces.CHUNK_LIMIT, pieces.CHUNK_OVERLAP)
+    return documents.unionByName(chunks).withColumnsRenamed({"kind": "record_kind", "key": "record_key"})
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents and chunks that come out in several pieces."""
+    return p3_pieces(spark, sf_dir).where("chunk_id = 1").select("record_kind", "record_key").distinct()
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of which one is among the other's five most similar vectors, at cosine >= 0.8."""
     return neighbours.similar_pairs(read_table(spark, sf_dir, "vectors"), k=5, least=0.8)
@@ -63,4 +77,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p3_found": """
+SELECT 'document' AS record_kind, doc_id AS record_key FROM documents WHERE length(text) > 6000
+UNION SELECT 'chunk', vector_id FROM chunks
+WHERE len(regexp_extract_all(text, '[^\\s\\x{0b}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+')) > 120""",
+    }
