@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecloom.llm import clusters, leaks, near_duplicates, neighbours, pieces, tokens
+from vecloom.llm import abuse, clusters, leaks, near_duplicates, neighbours, pieces, tokens
 from vecloom.session import read_table
 
 
@@ -72,6 +72,26 @@ def p7_reordered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), length=5, least_coverage=0.5)
 
 
+def _abuse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read_table(spark, sf_dir, "documents")
+    return abuse.abuse_scores(documents, abuse.train(documents, read_table(spark, sf_dir, "labels")))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with an abusive, hateful or sexually explicit passage."""
+    return _abuse(spark, sf_dir).where("score > 0").select("doc_id").distinct()
+
+
+def p8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The score of every document."""
+    return _abuse(spark, sf_dir)
+
+
+def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rate of abusive documents of each source."""
+    return abuse.rates(_abuse(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1].isdigit()}
 
