@@ -63,3 +63,39 @@ def unpack(column: pa.Array | pa.ChunkedArray, dimension: int, dtype: type = np.
     offsets = np.frombuffer(column.buffers()[1], dtype=np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1]
     data = np.frombuffer(column.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]]
     return np.frombuffer(data.tobytes(), dtype=dtype).reshape(len(column), dimension)
+
+
+def best_rows(queries: np.ndarray, ids: np.ndarray, data: np.ndarray, k: np.ndarray | int, query_ids: np.ndarray | None = None, least: float | None = None, block: int = 1024):
+    """Yields (query index, id, float32 score) of the k best data rows of every query, grouped by query, best first.
+
+    Ids of ``data`` are distinct and ascending; ``k`` may differ by query. A query whose id is in ``ids``
+    leaves itself out if ``query_ids`` is given. A first score in single precision keeps all rows that could
+    still be among the k best; the exact scores of those decide, ties go to the smaller id.
+    """
+    slack = np.float32(1e-5)
+    wanted = np.minimum(np.broadcast_to(np.asarray(k), len(queries)), len(data))
+    for i in range(0, len(queries), block):
+        score = queries[i : i + block] @ data.T
+        if query_ids is not None:
+            place = np.searchsorted(ids, query_ids[i : i + block])
+            own = (place < len(ids)) & (ids[np.minimum(place, len(ids) - 1)] == query_ids[i : i + block])
+            score[np.flatnonzero(own), place[own]] = -np.inf
+        bound = np.full(len(score), -2, np.float32)
+        for count in np.unique(wanted[i : i + block]):
+            rows = np.flatnonzero(wanted[i : i + block] == count)
+            if count == 0:
+                bound[rows] = np.inf
+            elif count < score.shape[1]:
+                bound[rows] = np.maximum(-2, np.partition(score[rows], score.shape[1] - count, axis=1)[:, score.shape[1] - count] - slack)
+        if least is not None:
+            bound = np.maximum(bound, np.float32(least) - slack)
+        row, col = np.nonzero(score >= bound[:, None])
+        if not len(row):
+            continue
+        exact = exact_scores(queries[i + row], data[col])
+        order = np.lexsort((ids[col], -exact, row))
+        row, col, exact = row[order], col[order], exact[order]
+        kept = np.arange(len(row)) - np.searchsorted(row, row) < wanted[i + row]
+        if least is not None:
+            kept &= exact >= np.float32(least)
+        yield i + row[kept], ids[col[kept]], exact[kept]
