@@ -125,17 +125,6 @@ def check_queries(queries: DataFrame, dimension: int, k: int | str) -> None:
         raise InvalidArgument(f"query: {bad[0].error}")
 
 
-def knn_expression(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """The same result for a few small rows, wholly as Column expressions: what SQL users would write.
-
-    ``queries`` must be a small literal set, as it is joined by broadcast with all vectors.
-    """
-    one = queries.select("query_id", vector.normalize_l2("query").alias("q"))
-    two = vectors.select("vector_id", vector.normalize_l2("values").alias("v")).where("v is not null")
-    scored = two.join(F.broadcast(one), F.lit(True)).select("query_id", "vector_id", vector.dot_product("q", "v").alias("score"))
-    return ranked(scored, k).select("query_id", "rank", "vector_id", "score")
-
-
 def vote(neighbours: DataFrame, labels: DataFrame) -> DataFrame:
     """``(query_id, label, votes)``: the most frequent label among each query's neighbours, ties to the smaller label."""
     counts = neighbours.join(labels.select("vector_id", "label"), "vector_id").groupBy("query_id", "label").agg(F.count("*").alias("votes"))
