@@ -58,7 +58,7 @@ def inter_arrival(log: DataFrame, node: str = "node", at: str = "arrived_at", pa
     A node may hold any share of the log, so its records are first cut into time slices that are ranked
     apart; the gaps between slices come from their first and last times.
     """
-    rows = log.where(F.col(at).isNotNull()).select(node, F.col(at).alias("at"))
+    rows = log.where(F.col(at).isNotNull()).select(node, F.col(at).cast("timestamp").alias("at"))
     sliced = rows.withColumn("slice", F.date_trunc("day", "at"))
     order = Window.partitionBy(node, "slice").orderBy("at")
     inside = sliced.withColumn("gap", F.unix_micros("at") - F.unix_micros(F.lag("at").over(order)))
