@@ -336,8 +336,7 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    windows = F.posexplode(text.word_windows("text", 120, 20)).alias("chunk_id", "text")
-    return _documents(spark, sf_dir).select("document_id", F.coalesce("source", F.lit("")).alias("source"), windows)
+    return text.word_windows(_documents(spark, sf_dir).withColumn("source", F.coalesce("source", F.lit(""))), 120, 20)
 
 
 @query(_WINDOWS + "SELECT document_id, chunk_id, text, source FROM c")
