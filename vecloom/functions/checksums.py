@@ -7,6 +7,7 @@ import struct
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: 64-bit FNV-1a. Fixed values.
 FNV_OFFSET, FNV_PRIME = 14_695_981_039_346_656_037, 1_099_511_628_211
@@ -20,13 +21,13 @@ def fnv1a(data: bytes, start: int = FNV_OFFSET) -> int:
     return value
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def original_bits(values: pd.Series) -> pd.Series:
     """The vector's components as little-endian 32-bit floats: 0.0 and -0.0 differ; null for a null vector."""
     return pd.Series([None if v is None else struct.pack(f"<{len(v)}f", *v) for v in values], dtype=object)
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def fnv1a_bytes(values: pd.Series) -> pd.Series:
     """64-bit FNV-1a of each binary value as 8 little-endian bytes; null for null."""
     return pd.Series([None if v is None else fnv1a(bytes(v)).to_bytes(8, "little") for v in values], dtype=object)

@@ -282,10 +282,10 @@ def ingest(requests: DataFrame, log: DurableLog, checkpoint: str, order: Sequenc
         for i in range(slices):
             part = batch
             if slices > 1:
-                low, high = cuts[i].o, cuts[i + 1].o if i + 1 < slices else None
                 at = F.struct(*order)
-                part = batch.where(at >= F.struct(*[F.lit(x) for x in low]))
-                part = part.where(at < F.struct(*[F.lit(x) for x in high])) if high is not None else part
+                mark = lambda row: F.struct(*[F.lit(x).cast(batch.schema[c].dataType).alias(c) for c, x in zip(order, row, strict=True)])
+                part = batch.where(at >= mark(cuts[i].o))
+                part = part.where(at < mark(cuts[i + 1].o)) if i + 1 < slices else part
             numbered = part.withColumn("seq", F.expr(f"row_number() over (order by {', '.join(order)})").cast("bigint"))
             decided = log.commit_batch(numbered.select("seq", *columns), f"{number}-{i}")
             if outcomes and decided:
