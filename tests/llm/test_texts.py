@@ -230,6 +230,7 @@ def test_classifier_on_held_out_passages(spark):
     insults = ["idiot", "moron", "pathetic loser", "stupid clown", "worthless fool"]
 
     def document(kind):
+        """Sentences, of which one is abusive, or now and then quotes an insult."""
         lines = [f"the {rnd.choice(['model', 'proof', 'sample', 'cohort'])} {rnd.choice(['shows', 'has', 'lacks'])} {sentence(rnd, 6)}." for _ in range(12)]
         if kind:
             lines.insert(rnd.randrange(12), rnd.choice(bad).format(rnd.choice(insults)) + "!")
@@ -238,7 +239,7 @@ def test_classifier_on_held_out_passages(spark):
         return " ".join(lines)
 
     truth = {i: i % 12 == 0 for i in range(1500)}
-    rows = [(i, f"s{i % 3}" if i % 7 else None, document(k)) for i, k in truth.items()] + [(5000, "s", None), (5001, "s", ""), (5002, "s", "clean words " * 20_000)]
+    rows = [(i, f"s{i % 3}" if i % 7 else None, document(k)) for i, k in truth.items()] + [(5000, "s", None), (5001, "s", ""), (5002, "s", " ".join(document(False) for _ in range(300))), (5003, "s", " ".join(document(i == 150) for i in range(300)))]
     docs = spark.createDataFrame(rows, "doc_id bigint, source string, text string").withColumn("score", F.lit("x"))
     marks = [(i, int(truth[i]) if rnd.random() > 0.03 else 1 - int(truth[i])) for i in range(900)] + [(0, None), (None, 1), (9999, 1)]
     model = abuse.train(docs, spark.createDataFrame(marks, "doc_id bigint, toxic int"))
@@ -246,7 +247,7 @@ def test_classifier_on_held_out_passages(spark):
     flagged = {r.doc_id for r in scores.where("score > 0").collect()}
     held = {i for i in truth if i >= 900}
     hit = len(flagged & {i for i in held if truth[i]})
-    assert hit >= 0.9 * sum(truth[i] for i in held) and hit >= 0.9 * len(flagged & held) and not flagged & {5000, 5001, 5002}
+    assert hit >= 0.9 * sum(truth[i] for i in held) and hit >= 0.9 * len(flagged & held) and flagged & {5000, 5001, 5002, 5003} == {5003}
     by = {r.source: r for r in abuse.rates(scores).collect()}
     assert sum(r.documents for r in by.values()) == len(rows) and abs(by["s0"].rate - by["s0"].cases / by["s0"].documents) < 1e-12
     assert abuse.abuse_scores(docs.limit(0), model).count() == 0
