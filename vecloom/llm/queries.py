@@ -38,7 +38,7 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten most similar vectors of every vector whose id is divisible by 100, searched among all."""
     near = neighbours.nearest_vectors(read_table(spark, sf_dir, "vectors"), k=10, queries=F.col("id") % 100 == 0, replicas=2, probes=16, query_ratio=0.5)
-    return near.select(F.col("id").alias("query_id"), F.posexplode(F.arrays_zip("near", "score")).alias("rank", "n")).select("query_id", "rank", F.col("n.near").alias("vector_id"), "n.score")
+    return near.select(F.col("id").alias("query_id"), F.posexplode(F.arrays_zip("near", "score")).alias("rank", "n")).select("query_id", "rank", F.col("n.near").alias("vector_id"), F.round(F.col("n.score").cast("double"), 5).alias("score"))
 
 
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,10 +96,39 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1].isdigit()}
 
 
-def oracle_sql() -> dict[str, str]:
-    return {
-        "p3_found": """
+_UNIT = "[(x::DOUBLE * (1.0 / sqrt(list_inner_product(v::DOUBLE[], v::DOUBLE[]))))::FLOAT for x in v]"
+#: Cosines between all valid vectors, each id once: exact, so for small tables only.
+_COSINES = f"""
+WITH u AS (SELECT id, {_UNIT} AS v FROM (SELECT DISTINCT id, "values" AS v FROM vectors)
+  WHERE id IS NOT NULL AND len(v) = 64 AND len(list_filter(v, lambda x: x IS NOT NULL AND isfinite(x))) = 64 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+s AS (SELECT q.id AS a, e.id AS b, list_inner_product(q.v::DOUBLE[], e.v::DOUBLE[])::FLOAT AS s FROM u q JOIN u e ON q.id <> e.id),
+r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) - 1 AS rank FROM s)
+"""
+_TRIPLES = r"""
+WITH t AS (SELECT 'document' AS kind, doc_id AS key, text FROM documents UNION ALL SELECT 'chunk', vector_id, text FROM chunks),
+w AS (SELECT DISTINCT kind, key, text, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM t WHERE key IS NOT NULL),
+g AS (SELECT kind, key, hash(text) AS h, list_distinct([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] for i in range(1, len(w) - 1)]) AS g FROM w WHERE len(w) >= 30),
+e AS (SELECT kind, key, h, len(g) AS n, unnest(g) AS x FROM g),
+p AS (SELECT a.kind, a.key AS ka, b.key AS kb, a.h AS ha, b.h AS hb, a.n AS na, b.n AS nb, count(*) AS c
+      FROM e a JOIN e b ON a.kind = b.kind AND a.x = b.x AND a.key < b.key GROUP BY ALL)
+"""
+
+SQL = {
+    "p3_found": r"""
 SELECT 'document' AS record_kind, doc_id AS record_key FROM documents WHERE length(text) > 6000
 UNION SELECT 'chunk', vector_id FROM chunks
-WHERE len(regexp_extract_all(text, '[^\\s\\x{0b}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+')) > 120""",
-    }
+WHERE len(regexp_extract_all(text, '[^\s\x{0b}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+')) > 120""",
+    "p4_found": _COSINES + "SELECT DISTINCT least(a, b) AS id_a, greatest(a, b) AS id_b FROM r WHERE rank < 5 AND s >= 0.8::FLOAT",
+    "p4_neighbours": _COSINES + "SELECT a AS query_id, rank::INT AS rank, b AS vector_id, round(s::DOUBLE, 5) AS score FROM r WHERE rank < 10 AND a % 100 = 0",
+    "p5_found": _TRIPLES + "SELECT DISTINCT kind AS record_kind, ka AS key_a, kb AS key_b FROM p WHERE 10 * c >= 7 * (na + nb - c)",
+    "p7_found": r"""
+WITH i AS (SELECT item_id, regexp_extract_all(lower(regexp_replace(text, '\\[a-zA-Z@]+\*?', ' ', 'g')), '[a-z0-9]+') AS w FROM benchmark),
+d AS (SELECT doc_id, regexp_extract_all(lower(regexp_replace(text, '\\[a-zA-Z@]+\*?', ' ', 'g')), '[a-z0-9]+') AS w FROM documents),
+ig AS (SELECT item_id, unnest([array_to_string(w[k : k + 12], ' ') for k in range(1, len(w) - 11)]) AS g FROM i WHERE len(w) >= 13),
+dg AS (SELECT doc_id, unnest([array_to_string(w[k : k + 12], ' ') for k in range(1, len(w) - 11)]) AS g FROM d WHERE len(w) >= 13)
+SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)""",
+}
+
+
+def oracle_sql() -> dict[str, str]:
+    return SQL
