@@ -72,6 +72,10 @@ def test_contexts_keep_the_first_reason(spark, store):
     slow = SearchContext(deadline=time.monotonic() + 0.3)
     with pytest.raises(SearchInterrupted, match="deadline"):
         slow.run(spark, lambda: spark.range(1 << 40).selectExpr("sum(id % 7)").collect())
+    tracker, until = spark.sparkContext.statusTracker(), time.monotonic() + 30
+    while tracker.getActiveJobsIds() and time.monotonic() < until:
+        time.sleep(0.1)
+    assert not tracker.getActiveJobsIds()
 
 
 def manifest(count=1, sha="a" * 64, dimension=2):
