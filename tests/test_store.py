@@ -188,6 +188,11 @@ def test_a_retry_gets_the_first_result(spark, tmp_path):
     with pytest.raises(InvalidArgument):
         log.commit("zero", 7, [-0.0, 1, 0])
     assert log.lsn == 3 and DurableLog(spark, log.folder.path, 3).index().count() == 3
+    assert log.verify().isEmpty() and log.stats()["dedup_key_bytes"] == sum(8 + len(x) for x in ("first", "second", "zero"))
+    state = log.folder.read_json("LOG.json")
+    log.folder.write_json("LOG.json", state | {"log": state["log"][:1] + state["log"][2:]})
+    with pytest.raises(RecoveryRequired):
+        DurableLog(spark, log.folder.path, 3)
 
 
 def test_epochs_move_and_expire(spark, tmp_path):

@@ -138,6 +138,12 @@ def test_lookup_and_id_sets(spark):
     lookup.check_same_ids(a, a)
 
 
+def test_kernels():
+    assert {k: knn.resolve_kernel(k) for k in ("scalar", "auto", "avx2")} == {"scalar": "expression", "auto": "arrow", "avx2": "arrow"}
+    with pytest.raises(InvalidArgument):
+        knn.resolve_kernel("gpu")
+
+
 def test_deletion_prefixes_are_nested(spark):
     rows = spark.range(500).select(F.col("id").alias("vector_id"))
     sets = [{r.vector_id for r in lookup.deletion_prefix(rows, p, seed=3).collect()} for p in (0, 10, 25, 100)]

@@ -19,6 +19,20 @@ QUERY_BLOCK = 4_096
 RESULT = "query_id bigint, rank int, vector_id bigint, score float"
 
 
+#: Names of score kernels and the engine that stands for each. Fixed names.
+KERNELS = {"scalar": "expression", "auto": "arrow", "avx2": "arrow"}
+
+
+def resolve_kernel(name: str) -> str:
+    """The engine of a named kernel: Column expressions for the exact scalar one, blocked Arrow matrices for the others.
+
+    Both give the same scores here, as Arrow candidates are scored again in double precision.
+    """
+    if name not in KERNELS:
+        raise InvalidArgument(f"unknown kernel: {name}")
+    return KERNELS[name]
+
+
 def ranked(scored: DataFrame, k: Column | int, query: str = "query_id", vector_id: str = "vector_id", score: str = "score") -> DataFrame:
     """The k best rows of each query with their ``rank`` from 0: score descending, then id ascending.
 

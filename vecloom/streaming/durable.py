@@ -91,6 +91,13 @@ class DurableLog:
             # history without epochs becomes epoch 0 of the window and must fit its quota
             self._publish(self._state | {"policy": vars(replace(policy, current=1))})
             self._check_quota(0)
+        expected = self._state["checkpoint_lsn"]
+        for part in self._state["log"]:
+            if part["first"] != expected + 1 or part["last"] - part["first"] + 1 != part["rows"]:
+                raise RecoveryRequired(f"log numbers do not follow {expected}")
+            expected = part["last"]
+        if expected != self.lsn:
+            raise RecoveryRequired("the log ends early")
         self.recovered = {"records": sum(p["rows"] for p in self._state["log"]), "discarded": self.cleanup()}
 
     @property
@@ -262,9 +269,19 @@ class DurableLog:
             self.folder.delete(name)
         return old
 
+    def verify(self) -> DataFrame:
+        """``(lsn, problem)`` of broken records since the last checkpoint: numbers, digests, lengths of vectors; must be empty."""
+        from vecloom.operators.service_log import log_gaps
+
+        rows = self.records()
+        problem = F.when(request_digest("original") != F.col("digest"), "digest").when(~vector.has_dimension("values", self._state["dimension"]) | ~vector.is_unit("values"), "vector").when(~F.col("values").eqNullSafe(vector.normalize_l2("original")), "normalised")
+        broken = rows.select("lsn", problem.alias("problem")).where("problem is not null")
+        return broken.unionByName(log_gaps(rows).withColumnRenamed("next", "lsn"))
+
     def stats(self) -> dict:
         p = self.policy
-        return {"applied_lsn": self.lsn, "checkpoint_lsn": self._state["checkpoint_lsn"], "size": self.size, "wal_generation": self._state["generation"], "log_records": sum(x["rows"] for x in self._state["log"]), "current_epoch": p.current, "oldest_epoch": p.oldest, "dedup_entries": self.operations().count(), "recovery_required": self.recovery_required}
+        entries, key_bytes = self.operations().agg(F.count("*"), F.coalesce(F.sum(F.octet_length("operation_id") + 8), F.lit(0))).first()
+        return {"applied_lsn": self.lsn, "checkpoint_lsn": self._state["checkpoint_lsn"], "size": self.size, "wal_generation": self._state["generation"], "log_records": sum(x["rows"] for x in self._state["log"]), "current_epoch": p.current, "oldest_epoch": p.oldest, "dedup_entries": entries, "dedup_key_bytes": key_bytes, "recovery_required": self.recovery_required}
 
 
 def ingest(requests: DataFrame, log: DurableLog, checkpoint: str, order: Sequence[str] = ("received_at", "delivery_id"), outcomes: str | None = None):
