@@ -125,6 +125,65 @@ def local_clusters(vectors: np.ndarray, least: float, points: int, local_rows: i
     return out, core
 
 
+def peel(ids: np.ndarray, vectors: np.ndarray, least: float, smallest: int, points: int) -> list[tuple[int, np.ndarray]]:
+    """All groups of one density component, as (place of the most typical member, places of the members).
+
+    The members near the most typical one are measured again until all are near it; what is then left is
+    clustered by density anew, so no group waits for a pass of its own. A most typical member with too few
+    vectors around it, such as one between two groups, is set aside alone. Last, whatever is in no group is
+    offered to the groups, the nearest first, and joins one whose members all stay near its most typical one.
+    """
+    order = np.argsort(ids, kind="stable")
+    vectors = vectors[order]
+    wide = vectors.astype(np.float64)
+
+    def typical(own: np.ndarray) -> int:
+        return int(own[np.argmax(np.round(wide[own] @ wide[own].sum(axis=0), 7))])
+
+    def near(own: np.ndarray, centre: int) -> np.ndarray:
+        return exact_scores(vectors[own], np.repeat(vectors[centre : centre + 1], len(own), axis=0)) >= least
+
+    groups, waiting = [], [np.arange(len(ids))]
+    while waiting:
+        whole = waiting.pop()
+        if len(whole) < smallest:
+            continue
+        own, centre = whole, typical(whole)
+        while len(own) >= smallest and not (close := near(own, centre)).all():
+            own = own[close]
+            centre = typical(own) if len(own) >= smallest else centre
+        if len(own) < smallest:
+            waiting.append(whole[whole != centre])
+            continue
+        groups.append((centre, own))
+        rest = np.setdiff1d(whole, own)
+        label, _ = density_clusters(vectors[rest], least, points)
+        waiting += [rest[label == k] for k in range(label.max(initial=-1) + 1)]
+    free = np.ones(len(ids), bool)
+    for _, own in groups:
+        free[own] = False
+    for i in np.flatnonzero(free) if groups else ():
+        score = exact_scores(vectors[[c for c, _ in groups]], np.repeat(vectors[i : i + 1], len(groups), axis=0))
+        for g in np.argsort(-score, kind="stable"):
+            if score[g] < least:
+                break
+            own = np.union1d(groups[g][1], [i])
+            if near(own, centre := typical(own)).all():
+                groups[g] = (centre, own)
+                break
+    return [(int(order[centre]), order[own]) for centre, own in groups]
+
+
+def _peel_cluster(dimension: int, least: float, smallest: int, points: int):
+    def run(table: pa.Table) -> pa.Table:
+        ids, vectors = table["id"].to_numpy(), unpack(table["vec"], dimension)
+        out = [(ids[own], np.full(len(own), ids[c]), np.full(len(own), len(own)), exact_scores(vectors[own], np.repeat(vectors[c : c + 1], len(own), axis=0))) for c, own in peel(ids, vectors, least, smallest, points)]
+        columns = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.empty(0, np.int64)] * 3 + [np.empty(0, np.float32)]
+        return pa.table(dict(zip(("id", "typical_id", "size", "score"), columns, strict=True)))
+
+    return run
+
+
 def _cluster_cell(dimension: int, least: float, points: int, local_rows: int):
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         ids = table["id"].to_numpy()
@@ -196,6 +255,25 @@ def join_clusters(rows: DataFrame, clusters: DataFrame, key: str, size: str, n:
     return rows.join(F.broadcast(hot), key).unionByName(rows.join(keys, key, "left_anti").join(cold, key))
 
 
+def _density_labels(found: Collection, vectors: DataFrame, shared, blocks: np.ndarray, dimension: int, cells: int, margin: float, least: float, points: int, local_rows: int) -> DataFrame:
+    """``(id, cluster)`` of the vectors (of ``found.vectors()``) in a density component, and of the copies of hot ones."""
+    spread = vectors.mapInArrow(_cell_rows(shared, blocks, dimension, cells, margin), "cell int, block int, id bigint, vec binary")
+    local = materialise(spread.groupBy("cell", "block").applyInArrow(_cluster_cell(dimension, least, points, local_rows), "id bigint, local bigint, core boolean"), "local")
+
+    # local clusters that hold the same vector, a core of at least one of them, are joined
+    several = local.groupBy("id").agg(F.collect_set("local").alias("all"), F.max("core").alias("core"), F.min("local").alias("first"))
+    links = several.where("core and size(all) > 1").select("first", F.explode("all").alias("other")).where("first <> other").distinct()
+    merged = connected_components(links, "first", "other")
+    of_local = local.select("local").distinct().join(merged.withColumnRenamed("node", "local"), "local", "left").select("local", F.coalesce("component", "local").alias("cluster"))
+    # a border point that several clusters reach goes to one with it as a core, else to the smallest key
+    labels = local.join(of_local, "local").groupBy("id").agg(F.min(F.struct(~F.col("core"), "cluster")).alias("m")).select("id", "m.cluster")
+    if found.copies is not None:
+        # the copies of a hot vector have its scores, so they are wherever its smallest ids are
+        hot = labels.join(found._smallest(), "id").groupBy("h").agg(F.min("cluster").alias("cluster"))
+        labels = labels.unionByName(found.copies.join(F.broadcast(hot), "h").select("id", "cluster"))
+    return labels
+
+
 def similarity_clusters(
     table: DataFrame,
     least: float = 0.8,
@@ -207,7 +285,6 @@ def similarity_clusters(
     cell_rows: int = CELL_ROWS,
     block_rows: int = BLOCK_ROWS,
     local_rows: int = LOCAL_ROWS,
-    rounds: int = 8,
 ) -> DataFrame:
     """``(id, typical_id, size, similarity FLOAT)`` of every vector that lies in a cluster.
 
@@ -217,8 +294,9 @@ def similarity_clusters(
     The vectors' principal components partition the space into balanced cells; a vector goes to its home
     cell and to up to ``cells`` - 1 more in whose margin (distance up to 1 + ``margin`` times the nearest)
     it lies. Each cell is clustered by density on its own (a core has ``points`` vectors at cosine >=
-    ``least``); local clusters that share a core point are one. Members too far from the most typical one
-    form a cluster of their own if they can, in up to ``rounds`` further passes that end when none is left.
+    ``least``); local clusters that share a core point are one. Where members are too far from the most typical
+    one, a cluster of up to ``local_rows`` is taken apart by a single task (:func:`peel`); of a larger one the
+    far members are clustered by density again, in further passes until no cluster is left to take apart.
 
     Null ids and invalid vectors are in no cluster; repeated rows count once, as in
     :class:`~vecloom.llm.cells.Collection`; an empty table gives no rows.
@@ -236,37 +314,33 @@ def similarity_clusters(
     share = np.bincount(graph.search(reduced, 1)[0][:, 0], minlength=len(centres)) / max(1, len(sample))
     blocks = np.minimum(1 << 13, np.maximum(1, np.ceil(share * found.n * cells / block_rows))).astype(np.int64)
     shared = spark.sparkContext.broadcast((graph, axes))
-    spread = found.vectors().mapInArrow(_cell_rows(shared, blocks, dimension, cells, margin), "cell int, block int, id bigint, vec binary")
-    local = materialise(spread.groupBy("cell", "block").applyInArrow(_cluster_cell(dimension, least, points, local_rows), "id bigint, local bigint, core boolean"), "local")
-
-    # local clusters that hold the same vector, a core of at least one of them, are joined
-    several = local.groupBy("id").agg(F.collect_set("local").alias("all"), F.max("core").alias("core"), F.min("local").alias("first"))
-    links = several.where("core and size(all) > 1").select("first", F.explode("all").alias("other")).where("first <> other").distinct()
-    merged = connected_components(links, "first", "other")
-    of_local = local.select("local").distinct().join(merged.withColumnRenamed("node", "local"), "local", "left").select("local", F.coalesce("component", "local").alias("cluster"))
-    # a border point that several clusters reach goes to one with it as a core, else to the smallest key
-    labels = local.join(of_local, "local").groupBy("id").agg(F.min(F.struct(~F.col("core"), "cluster")).alias("m")).select("id", "m.cluster")
-    if found.copies is not None:
-        hot = labels.join(found._smallest(), "id").groupBy("h").agg(F.min("cluster").alias("cluster"))
-        labels = labels.unionByName(found.copies.join(F.broadcast(hot), "h").select("id", "cluster"))
+    options = (dimension, cells, margin, least, points, local_rows)
+    labels = _density_labels(found, found.vectors(), shared, blocks, *options)
     # of the vectors only members are kept; every row repeated unchanged goes here
     everyone = found._valid(False) if not found._resolve else found._valid(True).join(found.members, ["id", "h"], "left_semi").select("id", "vec")
     members = materialise(everyone.join(labels, "id").dropDuplicates(["id"]).select("id", "cluster", "vec"), "members")
 
     done = None
-    for again in range(rounds + 1):
-        settled, members = _around_typical(members, least, smallest, dimension, found.n, again)
+    again = 0
+    while True:
+        settled, near, far = _around_typical(members, least, smallest, points, dimension, found.n, local_rows)
         done = settled if done is None else done.unionByName(settled)
-        if members is None:
+        if near is None:
             break
+        # each pass settles a large cluster or makes it smaller by one vector at least, so they end
+        left = found.vectors().join(far.select("id"), "id", "left_semi")
+        labels = _density_labels(found, left, shared, blocks, *options).withColumn("cluster", F.xxhash64("cluster", F.lit(again)))
+        members = materialise(near.unionByName(far.join(labels, "id").dropDuplicates(["id"]).select("id", "cluster", "vec")), "rest")
+        again += 1
     return done.select("id", "typical_id", F.col("size").cast("bigint").alias("size"), F.col("score").alias("similarity"))
 
 
-def _around_typical(members: DataFrame, least: float, smallest: int, dimension: int, n: int, again: int) -> tuple[DataFrame, DataFrame | None]:
-    """Clusters all of whose members are near their most typical one, and the members of the others.
+def _around_typical(members: DataFrame, least: float, smallest: int, points: int, dimension: int, n: int, local_rows: int) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    """Clusters all of whose members are near their most typical one, and near and far members of the others.
 
-    Another cluster's near members stay together and are measured again, as their most typical member may
-    be another one now; those too far off get a key of their own.
+    Others of up to ``local_rows`` members are taken apart at once. Near members of a larger one stay together
+    and are measured again, as their most typical member may be another one now; if they are too few for a
+    cluster, only the most typical one is set aside and the rest counts as far.
     """
     sums = members.select("cluster", "vec").mapInArrow(_sums(dimension), "cluster bigint, size bigint, total binary")
     totals = sums.groupBy("cluster").applyInArrow(_add_up(dimension), "cluster bigint, size bigint, total binary")
@@ -276,10 +350,17 @@ def _around_typical(members: DataFrame, least: float, smallest: int, dimension:
     typical = materialise(typical.join(totals, "cluster").select("cluster", "size", F.col("best.id").alias("typical_id"), F.col("best.vec").alias("centre")), "typical")
     judged = join_clusters(members, typical, "cluster", "size", n).select("id", "cluster", "typical_id", "size", "vec", "centre").mapInArrow(_similarity(dimension), "id bigint, cluster bigint, typical_id bigint, size bigint, vec binary, score float")
     judged = materialise(judged, "judged")
-    open_ones = materialise(judged.where(F.col("score") < least).groupBy("cluster").agg(F.max("size").alias("size")), "open")
-    if open_ones.isEmpty():
-        return judged.drop("vec", "cluster"), None
+    close = F.col("score") >= least
+    open_ones = judged.groupBy("cluster").agg(F.max("size").alias("size"), F.count_if(close).alias("close"), F.count_if(~close).alias("away")).where("away > 0").select("cluster", "size", (F.col("close") >= smallest).alias("enough"))
+    open_ones = materialise(open_ones, "open")
     settled = judged.join(open_ones.select("cluster"), "cluster", "left_anti").drop("vec", "cluster")
-    rest = join_clusters(judged.select("id", "cluster", "vec", "score"), open_ones, "cluster", "size", n)
-    key = F.when(F.col("score") >= least, F.col("cluster")).otherwise(F.xxhash64("cluster", F.lit(again)))
-    return settled, materialise(rest.select("id", key.alias("cluster"), "vec"), "rest")
+    few, many = open_ones.where(F.col("size") <= local_rows), open_ones.where(F.col("size") > local_rows)
+    if not few.isEmpty():
+        # at most local_rows vectors a task
+        parts = judged.join(few.select("cluster"), "cluster").select("id", "cluster", "vec").groupBy("cluster")
+        settled = settled.unionByName(materialise(parts.applyInArrow(_peel_cluster(dimension, least, smallest, points), "id bigint, typical_id bigint, size bigint, score float"), "peeled"))
+    if many.isEmpty():
+        return settled, None, None
+    rest = materialise(join_clusters(judged.select("id", "cluster", "typical_id", "vec", "score"), many, "cluster", "size", n), "rest")
+    stays = close & F.col("enough")
+    return settled, rest.where(stays).select("id", "cluster", "vec"), rest.where(~stays & (F.col("enough") | (F.col("id") != F.col("typical_id")))).select("id", "vec")
