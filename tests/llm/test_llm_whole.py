@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 from vecloom.functions.arrow_vectors import normalise
-from vecloom.llm import clusters
+from vecloom.llm import abuse, clusters
 
 
 def bridged_groups(count, size=60, bridge=5, dim=64, seed=11):
@@ -53,3 +53,20 @@ def test_a_component_is_taken_apart_and_leftovers_are_offered():
             wider = np.append(own, i)
             moved = wider[np.argmax(rows[wider].astype(np.float64) @ rows[wider].astype(np.float64).sum(axis=0))]
             assert rows[centre] @ rows[i] < 0.8 + 1e-6 or (rows[wider] @ rows[moved]).min() < 0.8 + 1e-6
+
+
+def test_share_of_cases_is_counted_over_all_documents(spark, monkeypatch):
+    seen = []
+    model = abuse.Fitted.model
+    monkeypatch.setattr(abuse.Fitted, "model", lambda self, documents, above: seen.append((documents + self.labelled, self.labelled, above)) or model(self, documents, above))
+    rows = [(i, "you are a stupid idiot, shut up!" if i % 1_000 == 999 else f"plain words about method {i}") for i in range(6_000)] + [(None, "you idiot"), (9_999, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    abuse.train(docs, spark.createDataFrame([(i, int(i % 1_000 == 999)) for i in range(990, 1_010)], "doc_id bigint, toxic int"))
+    assert seen[0][:2] == (6_000, 20) and seen[0][2] <= 20
+
+
+def test_cut_follows_the_share_of_cases():
+    rng = np.random.default_rng(1)
+    bad, good = rng.normal(2, 1, 1_000), rng.normal(0, 1, 1_000)
+    found = abuse.Fitted([abuse.Model(np.zeros(abuse.BUCKETS, np.float32))], [(bad, np.ones(1_000))], [(good, np.ones(1_000))], 0, 0)
+    assert found.model(1_000_000, 50).threshold > found.model(1_000_000, 50_000).threshold > found.model(1_000_000, 200_000).threshold

@@ -18,14 +18,12 @@ LABELLED = (2_500, 7_500)
 #: Characters of the window a score belongs to, and lengths of the n-grams.
 WINDOW, ORDERS = 64, (3, 4, 5)
 BUCKETS = 1 << 18
-#: Labelled texts of a class under which seed passages stand in for some.
-FEW = 40
-#: Share of cases that is assumed where the abusive texts are too few to find the cut.
-USUAL_SHARE = 0.02
 #: A text without any known n-gram, whose score is 0, is under the cut by so much at least.
 LEAST_CUT = 0.01
-#: Labelled harmless documents under which unlabelled ones are taken for harmless; documents that show the share of cases.
-LEAST_HARMLESS, UNLABELLED = 4, 4_000
+#: Labelled texts that the seed passages of a class count for, all together, where held-out scores are weighed.
+SEED_WEIGHT = 5.0
+#: Labelled harmless documents under which up to so many unlabelled ones are taken for harmless.
+LEAST_HARMLESS, STAND_INS = 4, 400
 #: Parts of the labelled texts that are held out in turn to find the cut.
 FOLDS = 3
 #: Windows of harmless texts taken at random.
@@ -178,28 +176,51 @@ def _linear(rows: np.ndarray, labels: np.ndarray, ratios: np.ndarray, rounds: in
     return out, offset
 
 
-def fit(abusive: list[bytes], harmless: list[bytes], unlabelled: list[bytes] | None = None, seed: int = 5, rounds: int = 3) -> Model:
-    """A model from whole labelled texts, some of them labelled wrongly, of which a passage is abusive.
+@dataclass
+class Fitted:
+    """What the labelled texts give: a model of each part held out, and the held-out scores that set the cut."""
+
+    models: list[Model]
+    #: Of each part the held-out scores of cases and of others, and their weights.
+    bad: list[tuple[np.ndarray, np.ndarray]]
+    good: list[tuple[np.ndarray, np.ndarray]]
+    #: Labelled texts, and those of them that score above the held-out median of their part.
+    labelled: int
+    above: int
+
+    def medians(self) -> list[float]:
+        return [_quantile(*b, 0.5) for b in self.bad]
+
+    def model(self, documents: int, above: float) -> Model:
+        """The mean of the models, cut for the share of cases that ``documents`` other texts show, ``above`` of which are over the median."""
+        # half of the cases and next to none of the others score above the median case
+        share = 2 * (above + self.above) / max(1, documents + self.labelled)
+        # each model has its own scale, so its cut comes from the texts that were held out from it
+        cuts = [m.threshold + _best_cut(*bad, *good, share) for m, bad, good in zip(self.models, self.bad, self.good, strict=True)]
+        return Model(np.mean([m.weights for m in self.models], axis=0), max(float(np.mean(cuts)), LEAST_CUT))
+
+
+def fit(abusive: list[bytes], harmless: list[bytes], seed: int = 5, rounds: int = 3) -> Fitted:
+    """Models from whole labelled texts, some of them labelled wrongly, of which a passage is abusive.
 
     The window of each text that looks worst is its example, first by document frequencies and then by the
-    models of earlier rounds; the result is the mean of the last round's models. Every text is judged by a model that did not see it: an abusive text whose
+    models of earlier rounds. Every text is judged by a model that did not see it: an abusive text whose
     worst window looks no worse to that model than usual in harmless ones is left out as mislabelled, and so
-    is a harmless one that looks worse than most abusive ones. The cut between cases and others comes from
-    the same held-out scores, for the share of cases that the ``unlabelled`` texts show: those with labels
-    are not drawn evenly. Seed passages are always among the examples, and with fewer than FEW labelled texts
-    of a class also among its texts.
+    is a harmless one that looks worse than most abusive ones. The same held-out scores set the cut. Seed
+    passages are held out in turn like texts and weigh as SEED_WEIGHT of them, however many are labelled.
     """
     rng = np.random.default_rng(seed)
-    few = len(abusive) < FEW
-    if few:
-        abusive = abusive + [canonical(x) for x in all_abusive()]
-    if len(harmless) < FEW:
-        harmless = harmless + [canonical(x) for x in HARMLESS]
-    bad_seeds, good_seeds = (np.repeat(_window_features(t, [(i, 0) for i in range(len(t))]), SUPPORT, axis=0) for t in ([canonical(x) for x in all_abusive()], [canonical(x) for x in HARMLESS]))
+    real_bad, real_good = len(abusive), len(harmless)
+    bad_texts, good_texts = [canonical(x) for x in all_abusive()], [canonical(x) for x in HARMLESS]
+    abusive, harmless = abusive + bad_texts, harmless + good_texts
+    of_bad, of_good = np.arange(len(abusive)) % FOLDS, np.arange(len(harmless)) % FOLDS
+    by_bad, by_good = (np.append(np.ones(n), np.full(len(seeds), SEED_WEIGHT / len(seeds))) for n, seeds in ((real_bad, bad_texts), (real_good, good_texts)))
+    bad_seeds, good_seeds = (np.repeat(_window_features(t, [(i, 0) for i in range(len(t))]), SUPPORT, axis=0) for t in (bad_texts, good_texts))
+    of_bad_seeds, of_good_seeds = np.repeat(of_bad[real_bad:], SUPPORT), np.repeat(of_good[real_good:], SUPPORT)
     per_text = max(1, min(8, BACKGROUND // len(harmless)))
     spread = [(i, int(p)) for i, t in enumerate(harmless) for p in rng.choice(max(1, len(t)), min(per_text, max(1, len(t) // WINDOW)), replace=False)]
     background = np.concatenate([good_seeds, _window_features(harmless, spread)])
-    of_bad, of_good = np.arange(len(abusive)) % FOLDS, np.arange(len(harmless)) % FOLDS
+    of_background = np.concatenate([of_good_seeds, of_good[[i for i, _ in spread]]])
 
     def held_out(models: list[Model]) -> tuple[np.ndarray, ...]:
         out = []
@@ -211,26 +232,24 @@ def fit(abusive: list[bytes], harmless: list[bytes], unlabelled: list[bytes] | N
             out += [score, at]
         return tuple(out)
 
-    seeds_only = _ratios(bad_seeds, background)
-    models = [Model(_document_ratios([t for t, f in zip(abusive, of_bad, strict=True) if f != k], [t for t, f in zip(harmless, of_good, strict=True) if f != k]) + 0.5 * seeds_only) for k in range(FOLDS)]
+    def but(k: int, texts: list[bytes], fold: np.ndarray) -> list[bytes]:
+        return [t for t, f in zip(texts, fold, strict=True) if f != k]
+
+    models = [Model(_document_ratios(but(k, abusive[:real_bad], of_bad[:real_bad]), but(k, harmless, of_good)) + 0.5 * _ratios(bad_seeds[of_bad_seeds != k], background[of_background != k])) for k in range(FOLDS)]
     for again in range(rounds + 1):
         bad, bad_at, good, good_at = held_out(models)
-        kept = bad > np.quantile(good, 0.95)
-        clean = good < (np.quantile(bad[kept], 0.5) if kept.any() else np.inf)
-        near = [(int(i), max(0, int(bad_at[i]) + d)) for i in np.flatnonzero(kept) for d in (-_STRIDE, 0, _STRIDE)]
-        positive, owner = _window_features(abusive, near) if near else bad_seeds[:0], np.repeat(of_bad[kept], 3)
+        kept = bad > _quantile(good, by_good, 0.95)
+        clean = good < _quantile(bad[kept], by_bad[kept], 0.5)
+        if again == rounds:
+            found = Fitted(models, *([(score[own & (fold == k)], weight[own & (fold == k)]) for k in range(FOLDS)] for score, weight, own, fold in ((bad, by_bad, kept, of_bad), (good, by_good, clean, of_good))), real_bad + real_good, 0)
+            cut = np.array(found.medians())
+            found.above = int((bad > cut[of_bad])[:real_bad].sum() + (good > cut[of_good])[:real_good].sum())
+            return found
+        near = [(int(i), max(0, int(bad_at[i]) + d)) for i in np.flatnonzero(kept[:real_bad]) for d in (-_STRIDE, 0, _STRIDE)]
+        positive, owner = _window_features(abusive, near) if near else bad_seeds[:0], np.repeat(of_bad[:real_bad][kept[:real_bad]], 3)
         worst = [(int(i), int(good_at[i])) for i in np.flatnonzero(clean)]
         negative, other = _window_features(harmless, worst), of_good[clean]
-        if again == rounds:
-            # half of the cases and next to none of the others score above the median case
-            share = 2 * float(np.mean([(m.scores(unlabelled)[0] > np.median(bad[kept & (of_bad == k)])).mean() for k, m in enumerate(models)])) if unlabelled and kept.any() else float(kept.sum() / (kept.sum() + clean.sum()))
-            # each model has its own scale, so its cut comes from the texts that were held out from it
-            cuts = [m.threshold + (0.0 if few else _best_cut(bad[kept & (of_bad == k)], good[clean & (of_good == k)], share)) for k, m in enumerate(models)]
-            found = Model(np.mean([m.weights for m in models], axis=0), float(np.mean(cuts)))
-            if few:  # seed passages are no test of a cut, so where they stand in for texts a usual share is cases
-                found = Model(found.weights, found.threshold + float(np.quantile(found.scores(unlabelled or harmless)[0], 1 - USUAL_SHARE)))
-            return Model(found.weights, max(found.threshold, LEAST_CUT))
-        models = [Model(*_linear_of(np.concatenate([bad_seeds, positive[owner != k]]), np.concatenate([background, negative[other != k]]))) for k in range(FOLDS)]
+        models = [Model(*_linear_of(np.concatenate([bad_seeds[of_bad_seeds != k], positive[owner != k]]), np.concatenate([background[of_background != k], negative[other != k]]))) for k in range(FOLDS)]
     raise AssertionError
 
 
@@ -250,12 +269,19 @@ def _document_ratios(abusive: list[bytes], harmless: list[bytes]) -> np.ndarray:
 
     bad, good = frequency(abusive), frequency(harmless)
     ratio = np.log((bad + _SMOOTHING) / (len(abusive) + 2 * _SMOOTHING)) - np.log((good + _SMOOTHING) / (len(harmless) + 2 * _SMOOTHING))
-    ratio = np.where((bad >= min(3, len(abusive))) & (ratio > 0), ratio, 0).astype(np.float32)
+    ratio = np.where((bad >= 3) & (ratio > 0), ratio, 0).astype(np.float32)
     ratio[0] = 0
     return ratio
 
 
-def _best_cut(bad: np.ndarray, good: np.ndarray, share: float) -> float:
+def _quantile(values: np.ndarray, weights: np.ndarray, share: float) -> float:
+    """The smallest value that reaches a share of the weights; infinity if there is none."""
+    order = np.argsort(values)
+    reached = np.cumsum(weights[order])
+    return float(values[order][np.searchsorted(reached, share * reached[-1])]) if len(values) else np.inf
+
+
+def _best_cut(bad: np.ndarray, by_bad: np.ndarray, good: np.ndarray, by_good: np.ndarray, share: float) -> float:
     """The score that parts cases from others best by the F1 to be expected where ``share`` of the texts are cases."""
     if not len(bad) or not len(good):
         return 0.0
@@ -263,8 +289,9 @@ def _best_cut(bad: np.ndarray, good: np.ndarray, share: float) -> float:
     scores = np.concatenate([bad, good])
     order = np.argsort(-scores, kind="stable")
     is_bad = order < len(bad)
-    hit = np.cumsum(is_bad) / len(bad) * share
-    wrong = np.cumsum(~is_bad) / len(good) * (1 - share)
+    weight = np.concatenate([by_bad, by_good])[order]
+    hit = np.cumsum(weight * is_bad) / by_bad.sum() * share
+    wrong = np.cumsum(weight * ~is_bad) / by_good.sum() * (1 - share)
     best = int(np.argmax(2 * hit / (hit + wrong + share)))
     after = scores[order[best + 1]] if best + 1 < len(scores) else scores[order[best]] - 1
     return float((scores[order[best]] + after) / 2)
@@ -275,22 +302,47 @@ def train(documents: DataFrame, labels: DataFrame, labelled: tuple[int, int] = L
 
     A document is abusive or harmless by the majority of its labels; null labels and ties say nothing. Of
     each class up to ``labelled`` (abusive, harmless) documents are used, those with the smallest hash of their
-    id. The share of cases is seen from UNLABELLED documents, those with the smallest of another hash; with fewer
-    than LEAST_HARMLESS harmless ones some of them are taken for harmless, as most are. Without labels the seed passages tell what is abusive.
+    id. The share of cases is counted over all documents: those that were fitted on by the model that did not
+    see them, all others by every model. With fewer than LEAST_HARMLESS harmless documents up to STAND_INS others
+    are taken for harmless, as most are. Without labels the seed passages tell what is abusive.
     """
     votes = labels.where("doc_id is not null and toxic is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.signum(F.col("toxic") - 0.5).alias("v")).groupBy("doc_id").agg(F.sum("v").alias("v")).where("v <> 0")
     chosen = [votes.where(sign).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).select("doc_id", (F.col("v") > 0).alias("bad")) for sign, most in zip(("v > 0", "v < 0"), labelled, strict=True)]
-    texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("text is not null")
-    # at most the sum of labelled rows, each an id and a mark
-    rows = texts.join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id").toArrow()
-    bad, ids, whole = rows["bad"].to_pylist(), rows["doc_id"].to_pylist(), rows["text"].to_pylist()
-    ordered = sorted(zip(ids, bad, whole, strict=True))
-    abusive, harmless = ([canonical(t) for _, b, t in ordered if b == kind] for kind in (True, False))
-    # ids first: texts are only read for the chosen ones
-    seen = documents.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("bigint").alias("doc_id")).orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(UNLABELLED).distinct()
-    sample = texts.join(F.broadcast(seen), "doc_id").toArrow()
-    others = [canonical(t) for _, t in sorted(zip(sample["doc_id"].to_pylist(), sample["text"].to_pylist(), strict=True))]
-    return fit(abusive, harmless if len(harmless) >= LEAST_HARMLESS else others[:LEAST_HARMLESS * 100], others)
+    texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id is not null and text is not null")
+
+    def labelled_texts(marks: DataFrame) -> list[tuple[int, bool, str]]:
+        # at most the sum of labelled rows, each an id and a mark
+        rows = texts.join(F.broadcast(marks), "doc_id").toArrow()
+        return sorted(zip(rows["doc_id"].to_pylist(), rows["bad"].to_pylist(), rows["text"].to_pylist(), strict=True))
+
+    used = labelled_texts(chosen[0].unionByName(chosen[1]))
+    if sum(not bad for _, bad, _ in used) < LEAST_HARMLESS:
+        # ids first: texts are only read for the chosen ones
+        spare = texts.select("doc_id").distinct().orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(STAND_INS + len(used))
+        taken = {i for i, _, _ in used}
+        others = [x for x in labelled_texts(spare.withColumn("bad", F.lit(False))) if x[0] not in taken][:STAND_INS]
+        used = sorted([x for x in used if x[1]] + others)
+    found = fit(*([canonical(t) for _, b, t in used if b == kind] for kind in (True, False)))
+    spark = documents.sparkSession
+    seen = spark.createDataFrame([(i,) for i in sorted({i for i, _, _ in used})], "doc_id bigint")
+    shared = spark.sparkContext.broadcast((found.models, found.medians()))
+    counted = texts.join(F.broadcast(seen), "doc_id", "left_anti").select("text").mapInArrow(_count_above(shared), "documents bigint, above bigint").agg(F.sum("documents"), F.sum("above")).first()
+    return found.model(counted[0] or 0, (counted[1] or 0) / FOLDS)
+
+
+def _count_above(shared):
+    """Per batch the number of texts, and how often one of the models scores one above its median."""
+
+    def run(batches):
+        models, medians = shared.value
+        for batch in batches:
+            above = 0
+            for at in range(0, batch.num_rows, _SLICE):
+                texts = [canonical(t) for t in batch.column(0).slice(at, _SLICE).to_pylist()]
+                above += sum(int((m.scores(texts)[0] > cut).sum()) for m, cut in zip(models, medians, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([above])], names=["documents", "above"])
+
+    return run
 
 
 def _score_texts(shared):
