@@ -70,3 +70,14 @@ def test_cut_follows_the_share_of_cases():
     bad, good = rng.normal(2, 1, 1_000), rng.normal(0, 1, 1_000)
     found = abuse.Fitted([abuse.Model(np.zeros(abuse.BUCKETS, np.float32))], [(bad, np.ones(1_000))], [(good, np.ones(1_000))], 0, 0)
     assert found.model(1_000_000, 50).threshold > found.model(1_000_000, 50_000).threshold > found.model(1_000_000, 200_000).threshold
+
+
+def test_few_abusive_labels_give_no_quota(spark):
+    words = ["model", "proof", "sample", "cohort", "margin", "theorem", "value", "lemma"]
+    rng = np.random.default_rng(4)
+    plain = lambda: " ".join(rng.choice(words, 40))
+    rows = [(i, "s", f"{plain()} you are a stupid idiot, shut up! {plain()}" if i % 10 == 0 else plain()) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, source string, text string")
+    model = abuse.train(docs, spark.createDataFrame([(i, int(i % 10 == 0)) for i in range(60)], "doc_id bigint, toxic int"))
+    flagged = {r.doc_id for r in abuse.abuse_scores(docs, model).where("score > 0").collect()}
+    assert flagged == {i for i in range(400) if i % 10 == 0}
