@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -424,6 +424,20 @@ def sequence_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return service_log.log_gaps(read_table(spark, sf_dir, "service_log"), "log_id")
 
 
+def arrival_slices(rows: DataFrame, most: int) -> Iterator[DataFrame]:
+    """The rows in order of (received_at nulls last, delivery_id) as slices of at most ``most``, numbered by ``seq``.
+
+    Rows are sorted by range and numbered within their partition, so a slice ends anywhere, also within one
+    arrival time; of each partition only the number of rows comes to the driver.
+    """
+    ordered = rows.repartitionByRange(F.col("received_at").asc_nulls_last(), "delivery_id").withColumn("part", F.spark_partition_id())
+    ordered = materialise(ordered, "arrivals")
+    place = materialise(ordered.withColumn("n", F.expr("row_number() over (partition by part order by received_at nulls last, delivery_id)")), "numbered")
+    for r in place.groupBy("part").agg(F.count("*").alias("n")).orderBy("part").collect():
+        for first in range(0, r.n, most):
+            yield place.where((F.col("part") == r.part) & (F.col("n") > first) & (F.col("n") <= first + most)).withColumn("seq", F.col("n").cast("bigint")).drop("part", "n")
+
+
 @query()
 def durable_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every insert request committed to a new log in order of arrival: outcomes and how many of each."""
@@ -432,18 +446,8 @@ def durable_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     current = rows.agg(F.max("epoch")).first()[0] or 1
     path = f"{shared_dir(spark)}/vecloom-log-{uuid.uuid4().hex}"
     log = durable.DurableLog(spark, path, 64, durable.Policy(max(1, current), 64, 1 << 40, 1 << 50), max_batch=20_000)
-    # slices of arrival time of at most max_batch rows, found from counts per minute
-    minute = F.coalesce(F.date_trunc("minute", "received_at"), F.lit("9999-01-01").cast("timestamp"))
-    slices, held = [], []
-    for r in rows.groupBy(minute.alias("m")).agg(F.count("*").alias("n")).orderBy("m").toLocalIterator():
-        if held and sum(n for _, n in held) + r.n > log.max_batch:
-            slices.append((held[0][0], held[-1][0]))
-            held = []
-        held.append((r.m, r.n))
-    slices += [(held[0][0], held[-1][0])] if held else []
     outcomes: dict[str, int] = {}
-    for i, (first, last) in enumerate(slices):
-        part = rows.where(minute.between(F.lit(first), F.lit(last))).withColumn("seq", F.expr("row_number() over (order by received_at nulls last, delivery_id)").cast("bigint"))
+    for i, part in enumerate(arrival_slices(rows, log.max_batch)):
         for o in log.commit_batch(part.select("seq", "operation_id", "epoch", "vector_id", "values"), str(i)):
             outcomes[o.outcome] = outcomes.get(o.outcome, 0) + 1
     delete_path(spark, path)
