@@ -133,21 +133,21 @@ def test_checksums(spark):
     assert table.agg(checksums.table_digest(["id"])).first() == table.orderBy(F.desc("id")).repartition(3).agg(checksums.table_digest(["id"])).first()
 
 
-def test_manifests(tmp_path):
+def test_manifests(spark, tmp_path):
     path = tmp_path / "a.fv"
     path.write_bytes(flat().encode())
-    made = manifest.create(str(path), "flat", 2, 3, "rev")
+    made = manifest.create(spark, str(path), "flat", 2, 3, "rev")
     (tmp_path / "m.json").write_text(json.dumps(made))
-    assert manifest.read(str(tmp_path / "m.json")) == made == manifest.read((tmp_path / "m.json").as_uri())
+    assert manifest.read(spark, str(tmp_path / "m.json")) == made == manifest.read(spark, (tmp_path / "m.json").as_uri())
     for change in ({"sha256": "A" * 64}, {"snapshot_id": "x"}, {"dimension": 0}, {"index_type": "other"}, {"format_version": 2}, {"file_size": 55}, {"embedding_revision": "x" * 257}, {"extra": 1}, {"vector_count": True}):
         with pytest.raises(InvalidArgument):
-            manifest.validate(made | change)
+            manifest.validate(spark, made | change)
     (tmp_path / "m.json").write_text(" " * 16_385)
     for source in (str(tmp_path / "m.json"), "ftp://x/y"):
         with pytest.raises(InvalidArgument):
-            manifest.read(source)
+            manifest.read(spark, source)
     with pytest.raises(InvalidArgument):
-        manifest.create(str(path), "hnsw", 2, 3)
+        manifest.create(spark, str(path), "hnsw", 2, 3)
 
 
 def test_windows_and_ids(spark, tmp_path):

@@ -37,7 +37,7 @@ def build(spark: SparkSession, a: argparse.Namespace) -> dict:
     finally:
         if os.path.exists(part):
             os.remove(part)
-    return manifest.create(a.output, "flat", dimension, count)
+    return manifest.create(spark, a.output, "flat", dimension, count)
 
 
 def load(spark: SparkSession, a: argparse.Namespace) -> dict:
@@ -85,9 +85,9 @@ def chunk(spark: SparkSession, a: argparse.Namespace) -> dict:
     return {"chunks": spark.read.text(a.output).count()}
 
 
-def describe(spark: SparkSession | None, a: argparse.Namespace) -> dict:
+def describe(spark: SparkSession, a: argparse.Namespace) -> dict:
     """The manifest of a snapshot file."""
-    return manifest.create(a.index, a.index_type, a.dimension, a.count, a.revision)
+    return manifest.create(spark, a.index, a.index_type, a.dimension, a.count, a.revision)
 
 
 def parser() -> argparse.ArgumentParser:
@@ -116,7 +116,7 @@ def parser() -> argparse.ArgumentParser:
 
 def main(arguments: list[str] | None = None) -> int:
     a = parser().parse_args(arguments)
-    spark = None if a.run is describe else SparkSession.builder.appName("vecloom").getOrCreate()
+    spark = SparkSession.builder.appName("vecloom").getOrCreate()
     try:
         print(json.dumps(a.run(spark, a)))
         return 0

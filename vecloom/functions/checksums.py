@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import hashlib
-import struct
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,16 +19,35 @@ def fnv1a(data: bytes, start: int = FNV_OFFSET) -> int:
     return value
 
 
+def fnv1a_all(values: list[bytes], block: int = 1024) -> np.ndarray:
+    """64-bit FNV-1a of many values: all values of a block go one byte on at a time, so the loop is as long as the longest."""
+    out = np.full(len(values), FNV_OFFSET, np.uint64)
+    order = np.argsort([-len(v) for v in values], kind="stable")
+    for at in range(0, len(order), block):
+        own = order[at : at + block]
+        sizes = np.array([len(values[i]) for i in own])
+        data = np.zeros((sizes[0], len(own)), np.uint64)
+        for column, i in enumerate(own):
+            data[: sizes[column], column] = np.frombuffer(values[i], np.uint8)
+        state, live = out[own], np.searchsorted(-sizes, -np.arange(1, sizes[0] + 1), side="right")
+        for row, count in zip(data, live.tolist(), strict=True):
+            state[:count] = (state[:count] ^ row[:count]) * np.uint64(FNV_PRIME)
+        out[own] = state
+    return out
+
+
 @F.pandas_udf(T.BinaryType())
 def original_bits(values: pd.Series) -> pd.Series:
     """The vector's components as little-endian 32-bit floats: 0.0 and -0.0 differ; null for a null vector."""
-    return pd.Series([None if v is None else struct.pack(f"<{len(v)}f", *v) for v in values], dtype=object)
+    # a null component is a NaN; each vector arrives as one array
+    return pd.Series([None if v is None else np.asarray(v, "<f4").tobytes() for v in values], dtype=object)
 
 
 @F.pandas_udf(T.BinaryType())
 def fnv1a_bytes(values: pd.Series) -> pd.Series:
     """64-bit FNV-1a of each binary value as 8 little-endian bytes; null for null."""
-    return pd.Series([None if v is None else fnv1a(bytes(v)).to_bytes(8, "little") for v in values], dtype=object)
+    hashes = fnv1a_all([b"" if v is None else bytes(v) for v in values]).astype("<u8")
+    return pd.Series([None if v is None else h.tobytes() for v, h in zip(values, hashes, strict=True)], dtype=object)
 
 
 def request_digest(values: str):
@@ -47,13 +64,3 @@ def table_digest(columns: list[str]):
     """An aggregate that is the same for the same rows in any order: XOR and sum of row hashes, and the count."""
     row = F.xxhash64(*columns)
     return F.struct(F.bit_xor(row).alias("xor"), F.sum(F.shiftrightunsigned(row, 32)).alias("sum"), F.count("*").alias("rows"))
-
-
-def file_sha256(path: str) -> tuple[str, int]:
-    """Digest and size of a local file, read in pieces of 1 MB."""
-    digest, size = hashlib.sha256(), 0
-    with open(path, "rb") as file:
-        while piece := file.read(1 << 20):
-            digest.update(piece)
-            size += len(piece)
-    return digest.hexdigest(), size

@@ -5,11 +5,45 @@ from __future__ import annotations
 import json
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 from vecloom.errors import InvalidArgument
 
 
+class SharedFile:
+    """One file on any Hadoop file system: a plain path, or an address such as file:, http:, https: or hdfs:."""
+
+    def __init__(self, spark: SparkSession, source: str):
+        self._jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        self._path = self._jvm.org.apache.hadoop.fs.Path(source)
+        try:
+            self._fs = self._path.getFileSystem(conf)
+        except Py4JJavaError as e:
+            raise InvalidArgument(f"unsupported address: {source}") from e
+
+    def _read(self, take):
+        try:
+            stream = self._fs.open(self._path)
+        except Py4JJavaError as e:
+            raise InvalidArgument(f"{self._path.toString()}: {e.java_exception.getMessage()}") from None
+        try:
+            return take(stream)
+        finally:
+            stream.close()
+
+    def head(self, most: int) -> bytes:
+        """The first bytes of the file, all of them if there are no more than ``most``."""
+        return bytes(self._read(lambda stream: stream.readNBytes(most)))
+
+    def sha256(self) -> str:
+        """Lower-case hexadecimal digest; the content passes through the JVM in pieces."""
+        return self._read(self._jvm.org.apache.commons.codec.digest.DigestUtils.sha256Hex)
+
+    def size(self) -> int:
+        return self._fs.getFileStatus(self._path).getLen()
+
+
 class Folder:
     """A folder that a table's versions live in."""
 

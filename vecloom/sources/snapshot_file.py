@@ -24,6 +24,16 @@ ENDIAN_MARK, COSINE_FLAG, NO_ENTRY = 0x01020304, 1, (1 << 64) - 1
 MAX_LEVEL, MAX_STATE, NORM_TOLERANCE = 63, 16 * 1024, 1e-3
 
 
+#: Bytes that tell what a file is: magic and version.
+HEAD = 12
+
+
+def kind_of(head: bytes) -> tuple[str, int]:
+    """Kind (empty if unknown) and version of a snapshot file by its first HEAD bytes."""
+    magic, version = head[:8], int.from_bytes(head[8:HEAD], "little")
+    return {FLAT_MAGIC: "flat", GRAPH_MAGIC: "hnsw"}.get(magic, "") if len(head) == HEAD else "", version
+
+
 def _need(condition: bool, message: str) -> None:
     if not condition:
         raise InvalidArgument(f"snapshot file: {message}")
