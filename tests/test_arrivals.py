@@ -1,6 +1,6 @@
 """Slices of insert requests in order of arrival."""
 
-from vecloom.queries import arrival_slices
+from vecloom.streaming.durable import arrival_slices
 
 
 def test_one_arrival_time_fills_several_slices(spark):

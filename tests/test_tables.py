@@ -104,10 +104,25 @@ def test_recall(spark):
 
 def test_percentiles(spark):
     df = spark.createDataFrame([(float(x),) for x in (1, 2, 3, 4)] + [(None,)], "x double")
-    assert df.select(evaluation.linear("x", 0.5)).first()[0] == 2.5
-    assert df.select(evaluation.nearest_rank("x", 0.5)).first()[0] == 2.0
-    assert df.select(evaluation.nearest_rank("x", 0.01)).first()[0] == 1.0
-    assert df.limit(0).select(evaluation.linear("x", 0.5)).first()[0] is None
+    wanted = {"middle": evaluation.linear(0.5), "half": evaluation.nearest_rank(0.5), "least": evaluation.nearest_rank(0.01)}
+    assert tuple(evaluation.percentiles(df, [], "x", wanted).first()) == (2.5, 2.0, 1.0)
+    assert evaluation.percentiles(df.limit(0), [], "x", wanted).isEmpty()
+
+
+def test_percentiles_of_large_groups_are_exact(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    groups = {"skewed": np.exp(rng.normal(0, 4, 3000)), "tied": rng.integers(0, 3, 900).astype(float), None: np.array([-1e308, 1e308, 0.0]), "one": np.array([7.0])}
+    rows = [(g, float(x)) for g, xs in groups.items() for x in xs] + [("one", None), ("none", None)]
+    wanted = {f"p{p}": evaluation.nearest_rank(p / 100) for p in (1, 50, 99)} | {f"l{p}": evaluation.linear(p / 100) for p in (5, 50, 95)}
+    got = {r.g: r for r in evaluation.percentiles(spark.createDataFrame(rows, "g string, x double"), ["g"], "x", wanted, few=20).collect()}
+    assert set(got) == set(groups)
+    for g, xs in groups.items():
+        for p in (1, 50, 99):
+            assert got[g][f"p{p}"] == np.sort(xs)[max(1, -(-len(xs) * p // 100)) - 1]
+        for p in (5, 50, 95):
+            assert np.isclose(got[g][f"l{p}"], np.quantile(xs, p / 100), rtol=1e-9) or g is None
 
 
 def test_incomplete_results(spark):

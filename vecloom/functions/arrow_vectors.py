@@ -65,15 +65,16 @@ def unpack(column: pa.Array | pa.ChunkedArray, dimension: int, dtype: type = np.
     return np.frombuffer(data.tobytes(), dtype=dtype).reshape(len(column), dimension)
 
 
-def best_rows(queries: np.ndarray, ids: np.ndarray, data: np.ndarray, k: np.ndarray | int, query_ids: np.ndarray | None = None, least: float | None = None, block: int = 1024):
+def best_rows(queries: np.ndarray, ids: np.ndarray, data: np.ndarray, k: np.ndarray | int, query_ids: np.ndarray | None = None, least: float | np.ndarray | None = None, block: int = 1024):
     """Yields (query index, id, float32 score) of the k best data rows of every query, grouped by query, best first.
 
-    Ids of ``data`` are distinct and ascending; ``k`` may differ by query. A query whose id is in ``ids``
+    Ids of ``data`` are distinct and ascending; ``k`` and ``least``, the lowest score that counts, may differ by query. A query whose id is in ``ids``
     leaves itself out if ``query_ids`` is given. A first score in single precision keeps all rows that could
     still be among the k best; the exact scores of those decide, ties go to the smaller id.
     """
     slack = np.float32(1e-5)
     wanted = np.minimum(np.broadcast_to(np.asarray(k), len(queries)), len(data))
+    least = None if least is None else np.broadcast_to(np.asarray(least, np.float32), len(queries))
     for i in range(0, len(queries), block):
         score = queries[i : i + block] @ data.T
         if query_ids is not None:
@@ -88,7 +89,7 @@ def best_rows(queries: np.ndarray, ids: np.ndarray, data: np.ndarray, k: np.ndar
             elif count < score.shape[1]:
                 bound[rows] = np.maximum(-2, np.partition(score[rows], score.shape[1] - count, axis=1)[:, score.shape[1] - count] - slack)
         if least is not None:
-            bound = np.maximum(bound, np.float32(least) - slack)
+            bound = np.maximum(bound, least[i : i + block] - slack)
         row, col = np.nonzero(score >= bound[:, None])
         if not len(row):
             continue
@@ -97,5 +98,5 @@ def best_rows(queries: np.ndarray, ids: np.ndarray, data: np.ndarray, k: np.ndar
         row, col, exact = row[order], col[order], exact[order]
         kept = np.arange(len(row)) - np.searchsorted(row, row) < wanted[i + row]
         if least is not None:
-            kept &= exact >= np.float32(least)
+            kept &= exact >= least[i + row]
         yield i + row[kept], ids[col[kept]], exact[kept]

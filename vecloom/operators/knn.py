@@ -14,8 +14,8 @@ from vecloom.functions import vector
 from vecloom.functions.arrow_vectors import best_rows, normalise, valid_matrix
 from vecloom.limits import ResourceLimits
 
-#: Queries that one pass over the vectors answers: with 64 components 1 MB is broadcast.
-QUERY_BLOCK = 4_096
+#: Bytes of queries that are broadcast for one pass over the vectors: 262,144 queries of 64 components.
+QUERY_BYTES = 64 << 20
 RESULT = "query_id bigint, rank int, vector_id bigint, score float"
 
 
@@ -56,48 +56,67 @@ def check_vectors(vectors: DataFrame, dimension: int, id_column: str = "vector_i
             raise InvalidArgument(f"vectors: {name} ({count})")
 
 
-def _partial(shared, dimension: int, exclude_self: bool, hold: int = 65_536):
-    """The best rows of each task: vectors are held in blocks, whose k best are merged as they come."""
-
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        ids, rows, held = [], [], 0
-        for batch in batches:
-            at, matrix = valid_matrix(batch.column(1), dimension)
-            ids.append(batch.column(0).take(pa.array(at)).to_numpy())
-            rows.append(normalise(matrix))
-            held += len(at)
-            if held >= hold:
-                yield np.concatenate(ids), np.concatenate(rows)
-                ids, rows, held = [], [], 0
-        if held:
+def held_blocks(batches: Iterator[pa.RecordBatch], dimension: int, hold: int = 65_536) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids and normalised valid vectors of a task's (id, values) rows, ``hold`` rows and more at a time."""
+    ids, rows, held = [], [], 0
+    for batch in batches:
+        at, matrix = valid_matrix(batch.column(1), dimension)
+        ids.append(batch.column(0).take(pa.array(at)).to_numpy())
+        rows.append(normalise(matrix))
+        held += len(at)
+        if held >= hold:
             yield np.concatenate(ids), np.concatenate(rows)
+            ids, rows, held = [], [], 0
+    if held:
+        yield np.concatenate(ids), np.concatenate(rows)
+
+
+def _partial(shared, dimension: int, exclude_self: bool):
+    """Candidates of each task: of every block of vectors the k best of a query that are no worse than its k-th best so far."""
 
     def run(batches):
         query_ids, queries, k = shared.value
-        for ids, data in blocks(batches):
+        least = np.full(len(queries), -np.inf, np.float32)
+        for ids, data in held_blocks(batches, dimension):
             # an id repeated in a block counts once; across blocks the final rank sees to it
             ids, first = np.unique(ids, return_index=True)
-            for q, near, score in best_rows(queries, ids, data[first], k, query_ids if exclude_self else None):
+            for q, near, score in best_rows(queries, ids, data[first], k, query_ids if exclude_self else None, least):
+                last = np.flatnonzero(np.append(q[1:] != q[:-1], True))
+                full = last[np.diff(np.append(-1, last)) == k[q[last]]]
+                least[q[full]] = np.maximum(least[q[full]], score[full])
                 yield pa.RecordBatch.from_arrays([pa.array(query_ids[q]), pa.array(near), pa.array(score)], names=["query_id", "vector_id", "score"])
 
     return run
 
 
+def query_blocks(queries: DataFrame, dimension: int, block: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Valid queries (``query_id, query, k``) as (ids, unit vectors, k), at most QUERY_BYTES (or ``block`` queries) at a time."""
+    most = block or max(1, QUERY_BYTES // (4 * dimension))
+    first = queries.limit(most + 1).toArrow()
+    blocks = 1 if first.num_rows <= most else -(-queries.count() // max(1, most * 3 // 4))
+    for b in range(blocks):
+        table = first if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).toArrow()
+        if table.num_rows:
+            at, matrix = valid_matrix(table["query"], dimension)
+            if len(at):
+                yield table["query_id"].to_numpy()[at], normalise(matrix), table["k"].to_numpy()[at]
+
+
 def knn(
     queries: DataFrame,
     vectors: DataFrame,
     k: int | str,
     dimension: int,
     exclude_self: bool = False,
-    query_block: int = QUERY_BLOCK,
+    query_block: int | None = None,
     limits: ResourceLimits | None = None,
 ) -> DataFrame:
     """``(query_id, rank, vector_id, score FLOAT)``: the exact k nearest rows of every query.
 
     ``queries`` has ``query_id, query``, ``vectors`` has ``vector_id, values``; other columns are ignored.
-    ``k`` is a number or the name of a column of ``queries``. Queries are collected in blocks of at most
-    ``query_block`` that are broadcast, each for one pass over the vectors; every task keeps its k best, so
-    little is shuffled and no pair of rows is ever materialised. ``k`` above the number of vectors gives
+    ``k`` is a number or the name of a column of ``queries``. Up to QUERY_BYTES of queries (or ``query_block``
+    rows) are broadcast for one pass over the vectors; every task only emits rows that may still be among a
+    query's k best, and those are shuffled once, by query. ``k`` above the number of vectors gives
     them all; ``k`` 0, null or negative gives no row, whatever the query. Invalid vectors (null, another
     length, null or non-finite components, zero) and null ids never answer; rows repeated under one id count
     once (of different vectors the best one). A query that is invalid, with ``k`` over 0, gives no row; use
@@ -108,27 +127,60 @@ def knn(
     if limits is not None:
         limits.check_top_k(asked.agg(F.max("k")).first()[0] or 0)
     source = vectors.select(F.col("vector_id").cast("bigint").alias("vector_id"), "values").where("vector_id is not null")
-    result = spark.createDataFrame([], RESULT)
-    count = asked.count()
-    blocks = -(-count // query_block)
-    for b in range(blocks):
-        own = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) if blocks > 1 else asked
-        table = own.toArrow()
-        if not table.num_rows:
-            continue
-        at, matrix = valid_matrix(table["query"], dimension)
-        ids, sizes = table["query_id"].to_numpy()[at], table["k"].to_numpy()[at]
-        if not len(at):
-            continue
-        shared = spark.sparkContext.broadcast((ids, normalise(matrix), sizes))
+    result = None
+    for ids, unit, sizes in query_blocks(asked, dimension, query_block):
+        shared = spark.sparkContext.broadcast((ids, unit, sizes))
         partial = source.mapInArrow(_partial(shared, dimension, exclude_self), "query_id bigint, vector_id bigint, score float")
-        partial = partial.groupBy("query_id", "vector_id").agg(F.max("score").alias("score"))
-        limit = F.broadcast(spark.createDataFrame(list(zip(ids.tolist(), sizes.tolist(), strict=True)), "query_id bigint, k bigint"))
-        most = int(sizes.max())
-        found = ranked(partial, most).join(limit, "query_id").where(F.col("rank") < F.col("k")) if len(set(sizes.tolist())) > 1 else ranked(partial, most)
+        # one shuffle serves the maximum of repeated ids and the rank
+        partial = partial.repartition("query_id").groupBy("query_id", "vector_id").agg(F.max("score").alias("score"))
+        found = ranked(partial, int(sizes.max()))
+        if len(set(sizes.tolist())) > 1:
+            limit = F.broadcast(spark.createDataFrame(list(zip(ids.tolist(), sizes.tolist(), strict=True)), "query_id bigint, k bigint"))
+            found = found.join(limit, "query_id").where(F.col("rank") < F.col("k"))
         found = found.select("query_id", "rank", "vector_id", "score")
-        result = found if b == 0 else result.unionByName(found)
-    return result
+        result = found if result is None else result.unionByName(found)
+    return spark.createDataFrame([], RESULT) if result is None else result
+
+
+def label_scores(queries: DataFrame, vectors: DataFrame, dimension: int) -> DataFrame:
+    """``(query_label, label, pairs, total DOUBLE, best FLOAT)``: scores of every labelled query to every labelled vector, summed per two labels.
+
+    ``queries`` has ``query_id, query, label``, ``vectors`` has ``vector_id, values, label``. Scores are added up
+    within each task, block by block, and no pair becomes a row. Invalid vectors and null labels say nothing;
+    repeated rows count as often as they occur.
+    """
+    spark = vectors.sparkSession
+    asked = queries.select("query_id", "query", F.col("label").cast("bigint").alias("k")).where("query_id is not null and k is not null")
+    source = vectors.select(F.col("label").cast("bigint").alias("label"), "values").where("label is not null")
+    parts = None
+    for _, unit, labels in query_blocks(asked, dimension):
+        shared = spark.sparkContext.broadcast((unit, labels))
+        own = source.mapInArrow(_summed(shared, dimension), "query_label bigint, label bigint, pairs bigint, total double, best float")
+        parts = own if parts is None else parts.unionByName(own)
+    if parts is None:
+        return spark.createDataFrame([], "query_label bigint, label bigint, pairs bigint, total double, best float")
+    return parts.groupBy("query_label", "label").agg(F.sum("pairs").alias("pairs"), F.sum("total").alias("total"), F.max("best").alias("best"))
+
+
+def _summed(shared, dimension: int, block: int = 256):
+    def run(batches):
+        queries, asked = shared.value
+        asked_labels, of_query = np.unique(asked, return_inverse=True)
+        for labels, data in held_blocks(batches, dimension, 8_192):
+            own, of_row = np.unique(labels, return_inverse=True)
+            order = np.argsort(of_row, kind="stable")
+            starts = np.searchsorted(of_row[order], np.arange(len(own)))
+            pairs = np.bincount(of_query, minlength=len(asked_labels))[:, None] * np.bincount(of_row)[None, :]
+            total, best = np.zeros(pairs.shape), np.full(pairs.shape, -np.inf, np.float32)
+            wide = data[order].astype(np.float64)
+            for i in range(0, len(queries), block):
+                score = (queries[i : i + block].astype(np.float64) @ wide.T).astype(np.float32)
+                np.add.at(total, of_query[i : i + block], np.add.reduceat(score.astype(np.float64), starts, axis=1))
+                np.maximum.at(best, of_query[i : i + block], np.maximum.reduceat(score, starts, axis=1))
+            q, v = (x.ravel() for x in np.meshgrid(asked_labels, own, indexing="ij"))
+            yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(v), pa.array(pairs.ravel()), pa.array(total.ravel()), pa.array(best.ravel())], names=["query_label", "label", "pairs", "total", "best"])
+
+    return run
 
 
 def check_queries(queries: DataFrame, dimension: int, k: int | str) -> None:

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecloom.functions import text, vector
+from vecloom.functions.checksums import request_digest
 from vecloom.operators import dedup, evaluation, hnsw, knn, lookup, service_log
 from vecloom.session import delete_path, materialise, read_table, shared_dir
 from vecloom.sources import manifest
@@ -180,12 +181,11 @@ def search_requests_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     _REQUESTS
     + """, one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY vector_id ORDER BY document_id NULLS FIRST, chunk_id NULLS FIRST, text NULLS FIRST, source NULLS FIRST) AS n FROM chunks) WHERE n = 1)
 SELECT query_id, rank, r.vector_id, round(s::DOUBLE, 5) AS score, document_id, chunk_id, text, source
-FROM ranked r LEFT JOIN one USING (vector_id) WHERE rank < 5"""
+FROM ranked r LEFT JOIN one USING (vector_id)"""
 )
 def semantic_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The chunks of up to five results of every logged search."""
-    asked = read_table(spark, sf_dir, "search_requests").withColumn("k", F.least("k", F.lit(5)))
-    found = knn.knn(asked, _vectors(spark, sf_dir), "k", 64)
+    """The chunks of the results of every logged search, each with its own k."""
+    found = knn.knn(read_table(spark, sf_dir, "search_requests"), _vectors(spark, sf_dir), "k", 64)
     return _rounded(lookup.with_chunks(found, read_table(spark, sf_dir, "chunks"), strict=False))
 
 
@@ -241,11 +241,9 @@ SELECT query_label, label, count(*) AS pairs, round(avg(s), 5) AS mean_score, ro
 def label_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean and best similarity between labels, of every hundredth embedding to all."""
     e = _embeddings(spark, sf_dir)
-    near = knn.knn(_asking(e), e, 1_000_000_000, 64)
-    labels = e.select("vector_id", "label")
-    joined = near.join(labels, "vector_id").join(labels.select(F.col("vector_id").alias("query_id"), F.col("label").alias("query_label")), "query_id")
-    s = F.col("score").cast("double")
-    return joined.groupBy("query_label", "label").agg(F.count("*").alias("pairs"), F.round(F.avg(s), 5).alias("mean_score"), F.round(F.max(s), 5).alias("best_score"))
+    asked = e.where("vector_id % 100 = 0").select(F.col("vector_id").alias("query_id"), F.col("values").alias("query"), "label")
+    found = knn.label_scores(asked, e, 64)
+    return found.select(F.col("query_label").cast("int").alias("query_label"), F.col("label").cast("int").alias("label"), "pairs", F.round(F.col("total") / F.col("pairs"), 5).alias("mean_score"), F.round(F.col("best").cast("double"), 5).alias("best_score"))
 
 
 # --- evaluation --------------------------------------------------------------------------------------------
@@ -311,13 +309,14 @@ def latency_by_method(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.99) AS p99 FROM events GROUP BY event_type")
 def percentile_nearest_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nearest-rank percentiles of event values."""
-    return read_table(spark, sf_dir, "events").groupBy("event_type").agg(*[evaluation.nearest_rank("value", p / 100).alias(f"p{p}") for p in (50, 95, 99)])
+    return evaluation.percentiles(read_table(spark, sf_dir, "events"), ["event_type"], "value", {f"p{p}": evaluation.nearest_rank(p / 100) for p in (50, 95, 99)})
 
 
 @query("SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99 FROM events GROUP BY event_type")
 def percentile_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Interpolated percentiles of event values."""
-    return read_table(spark, sf_dir, "events").groupBy("event_type").agg(*[F.round(evaluation.linear("value", p / 100), 6).alias(f"p{p}") for p in (50, 95, 99)])
+    found = evaluation.percentiles(read_table(spark, sf_dir, "events"), ["event_type"], "value", {f"p{p}": evaluation.linear(p / 100) for p in (50, 95, 99)})
+    return found.select("event_type", *[F.round(f"p{p}", 6).alias(f"p{p}") for p in (50, 95, 99)])
 
 
 # --- texts -------------------------------------------------------------------------------------------------
@@ -368,30 +367,34 @@ def chunk_vector_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- requests, logs, manifests -----------------------------------------------------------------------------
 
-_STATUS = """
-WITH s AS (SELECT delivery_id AS seq, coalesce(client_operation_id, '') AS operation_id, coalesce(dedup_epoch, 0) AS epoch, id, received_at FROM add_vector_requests),
-stored AS (SELECT epoch, operation_id, id AS old_id FROM (SELECT *, row_number() OVER (PARTITION BY epoch, operation_id ORDER BY received_at NULLS LAST, seq) AS n
+#: A request's own bits as text: unlike numbers, 0.0 and -0.0 differ, and so do not NaNs.
+_BITS = "list_transform(\"values\", lambda x: coalesce(x, 'nan'::FLOAT))::VARCHAR"
+_STATUS = f"""
+WITH s AS (SELECT delivery_id AS seq, coalesce(client_operation_id, '') AS operation_id, coalesce(dedup_epoch, 0) AS epoch, id, received_at, len("values") AS size, {_BITS} AS bits FROM add_vector_requests),
+stored AS (SELECT epoch, operation_id, id AS old_id, bits AS old_bits FROM (SELECT *, row_number() OVER (PARTITION BY epoch, operation_id ORDER BY received_at NULLS LAST, seq) AS n
            FROM s WHERE received_at < TIMESTAMP '2025-04-01' AND operation_id <> '') WHERE n = 1),
-m AS (SELECT max(epoch) AS current FROM s)
+m AS (SELECT coalesce(max(epoch), 0) AS current FROM stored)
 """
 
 
 @query(
     _STATUS
-    + """SELECT seq, CASE WHEN operation_id = '' OR strlen(operation_id) > 256 OR id IS NULL THEN 'INVALID_REQUEST'
+    + """SELECT seq, CASE WHEN operation_id = '' OR strlen(operation_id) > 256 OR id IS NULL OR coalesce(size, 0) <> 64 THEN 'INVALID_REQUEST'
   WHEN epoch > current THEN 'FUTURE_EPOCH' WHEN epoch < greatest(0, current - 3) THEN 'EXPIRED_EPOCH'
-  WHEN old_id = id THEN 'REPLAY' WHEN old_id IS NOT NULL THEN 'CONFLICT'
+  WHEN old_id = id AND old_bits IS NOT DISTINCT FROM bits THEN 'REPLAY' WHEN old_id IS NOT NULL THEN 'CONFLICT'
   WHEN epoch < current THEN 'CLOSED_EPOCH' ELSE 'CANDIDATE' END AS outcome
 FROM s LEFT JOIN stored USING (epoch, operation_id), m"""
 )
 def dedup_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What every insert request is with regard to the operations stored before April, in a window of four epochs."""
+    """What every insert request is to a log that stored the operations of before April, with a window of four epochs up to their last."""
     operation, epoch = dedup.operation_key()
-    rows = read_table(spark, sf_dir, "add_vector_requests").select(F.col("delivery_id").alias("seq"), operation.alias("operation_id"), epoch.alias("epoch"), F.col("id").alias("vector_id"), F.lit("").alias("digest"), "received_at")
+    source = read_table(spark, sf_dir, "add_vector_requests")
+    rows = source.select(F.col("delivery_id").alias("seq"), operation.alias("operation_id"), epoch.alias("epoch"), F.col("id").alias("vector_id"), request_digest("values").alias("digest"), vector.vector_error("values", 64).alias("error"), "received_at")
     early = rows.where(F.col("received_at") < F.lit("2025-04-01").cast("timestamp"))
-    kept = dedup.first_deliveries(early, [F.col("epoch"), F.col("operation_id")], ["received_at"], "seq")
-    current = rows.agg(F.max("epoch")).first()[0] or 0
-    return durable.classify(rows, early.join(kept, "seq"), current, 4)
+    kept = dedup.first_deliveries(early.drop("digest"), [F.col("epoch"), F.col("operation_id")], ["received_at"], "seq")
+    stored = early.join(kept, "seq")
+    current = early.where("operation_id is not null").agg(F.max("epoch")).first()[0] or 0
+    return durable.classify(rows, stored, current, 4)
 
 
 @query("""
@@ -424,20 +427,6 @@ def sequence_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return service_log.log_gaps(read_table(spark, sf_dir, "service_log"), "log_id")
 
 
-def arrival_slices(rows: DataFrame, most: int) -> Iterator[DataFrame]:
-    """The rows in order of (received_at nulls last, delivery_id) as slices of at most ``most``, numbered by ``seq``.
-
-    Rows are sorted by range and numbered within their partition, so a slice ends anywhere, also within one
-    arrival time; of each partition only the number of rows comes to the driver.
-    """
-    ordered = rows.repartitionByRange(F.col("received_at").asc_nulls_last(), "delivery_id").withColumn("part", F.spark_partition_id())
-    ordered = materialise(ordered, "arrivals")
-    place = materialise(ordered.withColumn("n", F.expr("row_number() over (partition by part order by received_at nulls last, delivery_id)")), "numbered")
-    for r in place.groupBy("part").agg(F.count("*").alias("n")).orderBy("part").collect():
-        for first in range(0, r.n, most):
-            yield place.where((F.col("part") == r.part) & (F.col("n") > first) & (F.col("n") <= first + most)).withColumn("seq", F.col("n").cast("bigint")).drop("part", "n")
-
-
 @query()
 def durable_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every insert request committed to a new log in order of arrival: outcomes and how many of each."""
@@ -447,7 +436,7 @@ def durable_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/vecloom-log-{uuid.uuid4().hex}"
     log = durable.DurableLog(spark, path, 64, durable.Policy(max(1, current), 64, 1 << 40, 1 << 50), max_batch=20_000)
     outcomes: dict[str, int] = {}
-    for i, part in enumerate(arrival_slices(rows, log.max_batch)):
+    for i, part in enumerate(durable.arrival_slices(rows, log.max_batch)):
         for o in log.commit_batch(part.select("seq", "operation_id", "epoch", "vector_id", "values"), str(i)):
             outcomes[o.outcome] = outcomes.get(o.outcome, 0) + 1
     delete_path(spark, path)
@@ -516,7 +505,7 @@ def expected_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- proximity graphs --------------------------------------------------------------------------------------
 
-_GRAPH = hnsw.GraphConfig(64, ef_construction=100, heuristic=True)
+_GRAPH = hnsw.GraphConfig(64, heuristic=True)
 
 
 def _index(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,12 +7,13 @@ crash leaves either the old pointer or the new one; parts that no pointer names
 
 from __future__ import annotations
 
+import hashlib
 import threading
 import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vecloom.errors import EpochError, InvalidArgument, LimitExceeded, RecoveryRequired, ResourceExhausted, VectorError
@@ -20,6 +21,7 @@ from vecloom.functions import vector
 from vecloom.functions.checksums import request_digest
 from vecloom.limits import ResourceLimits
 from vecloom.plans.files import Folder
+from vecloom.session import materialise
 
 _POINTER = "LOG.json"
 #: Bytes of an operation id, retained epochs at most, and the fixed cost of an entry. Fixed values.
@@ -82,7 +84,7 @@ class DurableLog:
         if not self.folder.exists(_POINTER):
             if dimension <= 0:
                 raise InvalidArgument("dimension must be positive")
-            first = {"dimension": dimension, "lsn": 0, "checkpoint_lsn": 0, "size": 0, "generation": 0, "policy": vars(policy or Policy()), "index": [], "dedup": [], "log": [], "batches": []}
+            first = {"dimension": dimension, "lsn": 0, "checkpoint_lsn": 0, "size": 0, "generation": 0, "policy": vars(policy or Policy()), "index": [], "dedup": [], "log": []}
             self.folder.claim(_POINTER, first)
         self._state = self.folder.read_json(_POINTER)
         if self._state["dimension"] != dimension:
@@ -150,10 +152,12 @@ class DurableLog:
         with self._lock:
             if self.recovery_required:
                 raise RecoveryRequired("the log must be recovered")
-            if batch_id is not None and batch_id in self._state["batches"]:
+            if batch_id is not None and self._knows(batch_id):
                 return []
             decided, accepted = self._decide(requests)
             if not accepted:
+                if batch_id is not None:
+                    self._remember(batch_id)
                 return decided
             name = f"log-{uuid.uuid4().hex}"
             try:
@@ -162,9 +166,8 @@ class DurableLog:
                 rows = requests.join(F.broadcast(numbers), "seq").select("lsn", F.coalesce("epoch", F.lit(0)).alias("epoch"), "operation_id", "vector_id", request_digest("values").alias("digest"), F.col("values").alias("original"), vector.normalize_l2("values").alias("values"))
                 rows.write.parquet(f"{self.folder.path}/{name}")
                 self._hook("after append")
-                part = {"name": name, "first": accepted[0][1], "last": accepted[-1][1], "rows": len(accepted), "generation": self._state["generation"]}
-                batches = [*self._state["batches"], batch_id][-1000:] if batch_id is not None else self._state["batches"]
-                self._publish(self._state | {"lsn": accepted[-1][1], "size": self.size + len(accepted), "log": [*self._state["log"], part], "batches": batches})
+                part = {"name": name, "first": accepted[0][1], "last": accepted[-1][1], "rows": len(accepted), "generation": self._state["generation"], "batch": batch_id}
+                self._publish(self._state | {"lsn": accepted[-1][1], "size": self.size + len(accepted), "log": [*self._state["log"], part]})
                 self._hook("after publish")
             except BaseException:
                 self.recovery_required = True
@@ -173,11 +176,23 @@ class DurableLog:
                 self.checkpoint(advance=False)
             return decided
 
+    @staticmethod
+    def _mark(batch_id: str) -> str:
+        return f"batch-{hashlib.sha256(batch_id.encode()).hexdigest()}"
+
+    def _knows(self, batch_id: str) -> bool:
+        """Whether a batch was committed: the pointer names those of the current log, a mark in the folder every other one."""
+        return any(p.get("batch") == batch_id for p in self._state["log"]) or self.folder.exists(self._mark(batch_id))
+
+    def _remember(self, batch_id: str) -> None:
+        if not self.folder.exists(self._mark(batch_id)):
+            self.folder.write_json(self._mark(batch_id), {"batch": batch_id})
+
     def _decide(self, requests: DataFrame) -> tuple[list[Outcome], list[tuple[int, int]]]:
         state, policy, dimension = self._state, self.policy, self._state["dimension"]
         asked = requests.select("seq", F.coalesce("operation_id", F.lit("")).alias("operation_id"), F.coalesce("epoch", F.lit(0)).alias("epoch"), "vector_id", vector.vector_error("values", dimension).alias("error"), request_digest("values").alias("digest")).limit(self.max_batch + 1)
         known = self.operations().select("epoch", "operation_id", F.col("lsn").alias("old_lsn"), F.col("vector_id").alias("old_id"), F.col("digest").alias("old_digest"))
-        there = self.index().select("vector_id").distinct().withColumn("exists", F.lit(True))
+        there = self._stored_ids(asked)
         joined = asked.join(known, ["epoch", "operation_id"], "left").join(there, "vector_id", "left").orderBy("seq")
         rows = joined.collect()
         if len(rows) > self.max_batch:
@@ -217,6 +232,20 @@ class DurableLog:
             out.append(Outcome(r.seq, outcome, lsn if outcome == "NEW" else old[0] if outcome == "REPLAY" else None, size if outcome == "NEW" else old[0] if outcome == "REPLAY" else None))
         return out, accepted
 
+    def _stored_ids(self, asked: DataFrame) -> DataFrame:
+        """``(vector_id, exists)``: which of a batch's ids are stored.
+
+        The ids, ``max_batch`` at most, go to the stored ones; of those only that column is read, no row of it is
+        shuffled, and a few ids are looked up by the files' statistics (parts are written in id order).
+        """
+        ids = [r[0] for r in asked.where("vector_id is not null").select("vector_id").distinct().collect()]
+        stored = self.index().select("vector_id")
+        if len(ids) <= 10:
+            hit = stored.where(F.col("vector_id").isin(ids)) if ids else stored.limit(0)
+        else:
+            hit = stored.join(F.broadcast(self.spark.createDataFrame([(i,) for i in ids], "vector_id bigint")), "vector_id", "left_semi")
+        return hit.distinct().withColumn("exists", F.lit(True))
+
     def _usage(self) -> DataFrame:
         from vecloom.operators.service_log import epoch_usage
 
@@ -244,9 +273,11 @@ class DurableLog:
             index, dedup = f"index-{uuid.uuid4().hex}", f"dedup-{uuid.uuid4().hex}"
             self._hook("before checkpoint")
             try:
-                self._read(self._state["log"], RECORD).select("vector_id", "values").write.parquet(f"{self.folder.path}/{index}")
+                self._read(self._state["log"], RECORD).select("vector_id", "values").repartitionByRange("vector_id").sortWithinPartitions("vector_id").write.parquet(f"{self.folder.path}/{index}")
                 kept = self._read(self._state["dedup"], RECORD).unionByName(self._read(self._state["log"], RECORD)).where(F.col("epoch") >= following.oldest)
                 kept.write.parquet(f"{self.folder.path}/{dedup}")
+                for batch in {p.get("batch") for p in self._state["log"]} - {None}:
+                    self._remember(batch)  # before the pointer forgets it
                 generation = self._state["generation"] + 1
                 parts = [*self._state["index"], {"name": index}]
                 self._publish(self._state | {"checkpoint_lsn": self.lsn, "generation": generation, "policy": vars(following), "index": parts, "dedup": [{"name": dedup}], "log": []})
@@ -284,6 +315,20 @@ class DurableLog:
         return {"applied_lsn": self.lsn, "checkpoint_lsn": self._state["checkpoint_lsn"], "size": self.size, "wal_generation": self._state["generation"], "log_records": sum(x["rows"] for x in self._state["log"]), "current_epoch": p.current, "oldest_epoch": p.oldest, "dedup_entries": entries, "dedup_key_bytes": key_bytes, "recovery_required": self.recovery_required}
 
 
+def arrival_slices(rows: DataFrame, most: int, order: Sequence[str] = ("received_at", "delivery_id")) -> Iterator[DataFrame]:
+    """The rows in order of the columns ``order`` (nulls last) as slices of at most ``most``, numbered by ``seq``.
+
+    Rows are sorted by range and numbered within their partition, so a slice ends anywhere, also within one
+    arrival time; of each partition only the number of rows comes to the driver.
+    """
+    ordered = rows.repartitionByRange(*[F.col(c).asc_nulls_last() for c in order]).withColumn("part", F.spark_partition_id())
+    ordered = materialise(ordered, "arrivals")
+    place = materialise(ordered.withColumn("n", F.row_number().over(Window.partitionBy("part").orderBy(*[F.col(c).asc_nulls_last() for c in order]))), "numbered")
+    for r in place.groupBy("part").agg(F.count("*").alias("n")).orderBy("part").collect():
+        for first in range(0, r.n, most):
+            yield place.where((F.col("part") == r.part) & (F.col("n") > first) & (F.col("n") <= first + most)).withColumn("seq", F.col("n").cast("bigint")).drop("part", "n")
+
+
 def ingest(requests: DataFrame, log: DurableLog, checkpoint: str, order: Sequence[str] = ("received_at", "delivery_id"), outcomes: str | None = None):
     """A streaming query that commits a stream of requests (``operation_id, epoch, vector_id, values`` and the order columns).
 
@@ -293,18 +338,8 @@ def ingest(requests: DataFrame, log: DurableLog, checkpoint: str, order: Sequenc
 
     def commit(batch: DataFrame, number: int) -> None:
         columns = ["operation_id", "epoch", "vector_id", "values"]
-        count = batch.count()
-        slices = -(-count // log.max_batch)
-        cuts = batch.select(F.struct(*order).alias("o")).orderBy("o").collect()[:: log.max_batch] if slices > 1 else []
-        for i in range(slices):
-            part = batch
-            if slices > 1:
-                at = F.struct(*order)
-                mark = lambda row: F.struct(*[F.lit(x).cast(batch.schema[c].dataType).alias(c) for c, x in zip(order, row, strict=True)])
-                part = batch.where(at >= mark(cuts[i].o))
-                part = part.where(at < mark(cuts[i + 1].o)) if i + 1 < slices else part
-            numbered = part.withColumn("seq", F.expr(f"row_number() over (order by {', '.join(order)})").cast("bigint"))
-            decided = log.commit_batch(numbered.select("seq", *columns), f"{number}-{i}")
+        for i, part in enumerate(arrival_slices(batch.select(*columns, *[c for c in order if c not in columns]), log.max_batch, order)):
+            decided = log.commit_batch(part.select("seq", *columns), f"{number}-{i}")
             if outcomes and decided:
                 batch.sparkSession.createDataFrame([(number, i, d.seq, d.outcome, d.lsn) for d in decided], "batch bigint, slice int, seq bigint, outcome string, lsn bigint").write.mode("append").parquet(outcomes)
 
@@ -314,16 +349,16 @@ def ingest(requests: DataFrame, log: DurableLog, checkpoint: str, order: Sequenc
 def classify(requests: DataFrame, stored: DataFrame, current: int, retained: int) -> DataFrame:
     """The first, parallel step of a commit over any number of requests: what each one is with regard to stored operations.
 
-    ``requests`` and ``stored`` have ``epoch, operation_id, vector_id, digest``, requests also ``seq``; stored
-    keys are unique. Gives ``(seq, outcome)``: INVALID_REQUEST, FUTURE_EPOCH, EXPIRED_EPOCH, REPLAY, CONFLICT,
+    ``requests`` and ``stored`` have ``epoch, operation_id, vector_id, digest``, requests also ``seq`` and ``error``
+    (of :func:`~vecloom.functions.vector.vector_error`; a wrong dimension is an invalid request); stored keys are unique. Gives ``(seq, outcome)``: INVALID_REQUEST, FUTURE_EPOCH, EXPIRED_EPOCH, REPLAY, CONFLICT,
     CLOSED_EPOCH or CANDIDATE.
     """
     oldest = max(0, current - retained + 1)
     known = stored.select("epoch", "operation_id", F.col("vector_id").alias("old_id"), F.col("digest").alias("old_digest"))
-    asked = requests.select("seq", F.coalesce("epoch", F.lit(0)).alias("epoch"), F.coalesce("operation_id", F.lit("")).alias("operation_id"), "vector_id", "digest")
+    asked = requests.select("seq", F.coalesce("epoch", F.lit(0)).alias("epoch"), F.coalesce("operation_id", F.lit("")).alias("operation_id"), "vector_id", "digest", "error")
     length = F.octet_length("operation_id")
     outcome = (
-        F.when((length == 0) | (length > MAX_OPERATION) | F.col("vector_id").isNull(), "INVALID_REQUEST")
+        F.when((length == 0) | (length > MAX_OPERATION) | F.col("vector_id").isNull() | (F.coalesce("error", F.lit("")) == "dimension"), "INVALID_REQUEST")
         .when(F.col("epoch") > current, "FUTURE_EPOCH")
         .when(F.col("epoch") < oldest, "EXPIRED_EPOCH")
         .when(F.col("old_id").isNotNull() & (F.col("old_id") == F.col("vector_id")) & F.col("old_digest").eqNullSafe(F.col("digest")), "REPLAY")
