@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vecloom.functions.arrow_vectors import exact_scores, pack, unpack
+from vecloom.functions.arrow_vectors import best_rows, exact_scores, pack, unpack
 from vecloom.llm.cells import CentroidGraph, Collection, fit_centroids
 
 #: Vectors a posting list should hold before replication.
@@ -52,34 +52,6 @@ def _posting_rows(graph, blocks: np.ndarray, dimension: int, replicas: int, data
     return run
 
 
-def ranked_in_list(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, data: np.ndarray, k: int, least: float | None, block: int = 1024):
-    """The k best data rows of every query, itself left out: (query index, id, float32 score), unsorted.
-
-    Ids of ``data`` are distinct and ascending. A first score in single precision leaves all rows that
-    could still be among the k best; the exact float32 scores of those decide, ties go to the smaller id.
-    """
-    slack = np.float32(1e-5)
-    for i in range(0, len(queries), block):
-        score = queries[i : i + block] @ data.T
-        place = np.searchsorted(ids, query_ids[i : i + block])
-        own = (place < len(ids)) & (ids[np.minimum(place, len(ids) - 1)] == query_ids[i : i + block])
-        score[np.flatnonzero(own), place[own]] = -np.inf
-        bound = np.full(len(score), -2, np.float32) if score.shape[1] <= k else np.partition(score, score.shape[1] - k, axis=1)[:, score.shape[1] - k] - slack
-        if least is not None:
-            bound = np.maximum(bound, np.float32(least) - slack)
-        row, col = np.nonzero(score >= np.maximum(bound, np.float32(-2))[:, None])
-        if not len(row):
-            continue
-        exact = exact_scores(queries[i + row], data[col])
-        order = np.lexsort((ids[col], -exact, row))
-        row, col, exact = row[order], col[order], exact[order]
-        rank = np.arange(len(row)) - np.searchsorted(row, row)
-        kept = rank < k
-        if least is not None:
-            kept &= exact >= np.float32(least)
-        yield i + row[kept], ids[col[kept]], exact[kept]
-
-
 def _search_list(dimension: int, k: int, least: float | None):
     def run(table: pa.Table) -> pa.Table:
         ids = table["id"].to_numpy()
@@ -87,7 +59,7 @@ def _search_list(dimension: int, k: int, least: float | None):
         ids, role = ids[first], table["role"].to_numpy()[first]
         vectors = unpack(table["vec"], dimension)[first]
         query, data = (role & _QUERY) > 0, (role & _DATA) > 0
-        out = [(ids[query][q], near, score) for q, near, score in ranked_in_list(ids[query], vectors[query], ids[data], vectors[data], k, least)] if query.any() and data.any() else []
+        out = [(ids[query][q], near, score) for q, near, score in best_rows(vectors[query], ids[data], vectors[data], k, ids[query], least)] if query.any() and data.any() else []
         asked, near, score = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float32))
         return _lists_of(asked, near, score)
 
