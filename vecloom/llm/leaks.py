@@ -94,6 +94,12 @@ class _Words:
         return at, (self.total[at + length] - self.total[at]) * self.down[at]
 
 
+def _longest(free: np.ndarray) -> int:
+    """The length of the longest run of unmarked words."""
+    edge = np.flatnonzero(np.diff(free, prepend=False, append=False))
+    return int((edge[1::2] - edge[::2]).max(initial=0))
+
+
 def tiles(left: np.ndarray, right: np.ndarray, length: int, free: np.ndarray | None = None) -> list[tuple[int, int, int]]:
     """Greedy string tiling: (place in left, place in right, length) of non-overlapping equal runs of at least ``length`` words.
 
@@ -109,9 +115,9 @@ def tiles(left: np.ndarray, right: np.ndarray, length: int, free: np.ndarray | N
     def common(size: int) -> bool:
         return bool(np.isin(a.windows(size)[1], b.windows(size)[1]).any())
 
-    found, most = [], min(len(left), len(right))
-    while most >= length and common(length):
-        low, high = length, most
+    found, most = [], len(right)
+    while (most := min(most, _longest(a.free), _longest(b.free))) >= length and common(length):
+        low, high = most if common(most) else length, most
         while low < high:
             middle = (low + high + 1) // 2
             low, high = (middle, high) if common(middle) else (low, middle - 1)
