@@ -5,9 +5,11 @@ from __future__ import annotations
 import atexit
 import os
 import tempfile
+import time
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,6 +69,25 @@ def materialise(df: DataFrame, name: str = "stage") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/vecloom-{os.getpid()}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    counted = Observation()
+    df.observe(counted, F.count(F.lit(1)).alias("rows")).write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._vecloom_rows = _observed(counted)
     atexit.register(_delete_quietly, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    return out
+
+
+def _observed(counted: Observation, seconds: float = 5.0) -> int | None:
+    """The observed number of rows; None if the report of it does not arrive, as it does a moment after the job."""
+    end = time.monotonic() + seconds
+    future = counted._jo.future()
+    while not future.isCompleted():
+        if time.monotonic() > end:
+            return None
+        time.sleep(0.002)
+    return counted.get["rows"]
+
+
+def stored_rows(df: DataFrame) -> int | None:
+    """How many rows a DataFrame of :func:`materialise` has; None for any other."""
+    return getattr(df, "_vecloom_rows", None)
