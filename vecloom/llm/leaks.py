@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from vecloom.llm.bitmaps import bit_of, bitmap, marked
 from vecloom.llm.shingles import word_hashes
-from vecloom.operators.skew import split_join
+from vecloom.operators.skew import split_join, split_joins
 from vecloom.session import materialise
 
 _COMMAND = re.compile(r"\\[a-zA-Z@]+\*?")
@@ -251,8 +251,7 @@ def _joined(source: DataFrame, tests: DataFrame, length: int, least_coverage: fl
     pairs = materialise(split_join(of_documents, of_items, ["seed"]).select("key", "h", "item_id").distinct(), "pairs")
     chosen = spark.sparkContext.broadcast(bitmap(pairs.select(F.xxhash64("key", "h").alias("b")), FILTER_BITS))
     candidates = texts.where(bit_of(chosen)(F.xxhash64("key", "h"))).dropDuplicates(["key", "h"])
-    with_document = materialise(split_join(pairs, candidates, ["key", "h"]).select("key", "item_id", F.col("text").alias("document")), "documents")
-    both = split_join(with_document, tests.select("item_id", "text"), ["item_id"])
+    both = split_joins(pairs, [(candidates.withColumnRenamed("text", "document"), ["key", "h"]), (tests.select("item_id", "text"), ["item_id"])])
     return both.select("key", "item_id", "document", "text").mapInArrow(_tile_pairs(length, least_coverage), RESULT)
 
 

@@ -121,6 +121,14 @@ WHERE len(regexp_extract_all(text, '[^\s\x{0b}\x{85}\x{a0}\x{1680}\x{2000}-\x{20
     "p4_found": _COSINES + "SELECT DISTINCT least(a, b) AS id_a, greatest(a, b) AS id_b FROM r WHERE rank < 5 AND s >= 0.8::FLOAT",
     "p4_neighbours": _COSINES + "SELECT a AS query_id, rank::INT AS rank, b AS vector_id, round(s::DOUBLE, 5) AS score FROM r WHERE rank < 10 AND a % 100 = 0",
     "p5_found": _TRIPLES + "SELECT DISTINCT kind AS record_kind, ka AS key_a, kb AS key_b FROM p WHERE 10 * c >= 7 * (na + nb - c)",
+    "p5_groups": _TRIPLES.replace("WITH t", "WITH RECURSIVE t").split("e AS")[0]
+    + """n AS (SELECT *, row_number() OVER () AS i FROM (SELECT DISTINCT kind, key, list_sort(g) AS g FROM g)),
+e AS (SELECT i, kind, len(g) AS n, unnest(g) AS x FROM n),
+l AS (SELECT a.i AS a, b.i AS b FROM e a JOIN e b ON a.kind = b.kind AND a.x = b.x AND a.i <> b.i GROUP BY a.i, b.i, a.n, b.n HAVING 10 * count(*) >= 7 * (a.n + b.n - count(*))),
+r AS (SELECT i AS a, i AS root FROM n UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.a),
+s AS (SELECT r.root AS i, min(n.key) AS grp FROM r JOIN n ON n.i = r.a GROUP BY r.root),
+c AS (SELECT a AS i, count(*) AS links FROM l GROUP BY a)
+SELECT kind AS record_kind, key, min(grp) AS "group", sum(links)::BIGINT AS links FROM n JOIN c USING (i) JOIN s USING (i) GROUP BY kind, key""",
     "p7_found": r"""
 WITH i AS (SELECT item_id, regexp_extract_all(lower(regexp_replace(text, '\\[a-zA-Z@]+\*?', ' ', 'g')), '[a-z0-9]+') AS w FROM benchmark),
 d AS (SELECT doc_id, regexp_extract_all(lower(regexp_replace(text, '\\[a-zA-Z@]+\*?', ' ', 'g')), '[a-z0-9]+') AS w FROM documents),
