@@ -112,7 +112,7 @@ def expected_clusters(ids, rows, least, smallest):
     return out
 
 
-@pytest.mark.parametrize("options", [{"cell_rows": 1 << 30}, {"cell_rows": 60}, {"cell_rows": 1 << 30, "local_rows": 120}])
+@pytest.mark.parametrize("options", [{"cell_rows": 1 << 30}, {"cell_rows": 60}, {"cell_rows": 1 << 30, "local_rows": 120}, {"cell_rows": 1 << 30, "exact_rows": 120}, {"cell_rows": 100, "block_rows": 200}])
 def test_clusters(spark, options):
     rows = blobs(6, [80, 50, 30, 14, 9], 120, spread=0.08)
     rows[3] = 5 * rows[2]

@@ -2,7 +2,9 @@
 
 The collection is read as *valid* vectors, centroids are fitted on a bounded sample in the driver, and
 every vector is then sent to the cells of its nearest centroids. All that is broadcast is the centroids
-(at most ``MAX_CENTROIDS`` rows) and the keys of very frequent vectors (at most ``MAX_HOT`` keys).
+(at most ``MAX_CENTROIDS`` rows) and the keys of very frequent vectors (at most ``MAX_HOT`` keys). Cells that
+are still too large for a task are divided again by centroids of their own, which are fitted in tasks, so the
+number of cells grows with the data and a cell's rows do not.
 """
 
 from __future__ import annotations
@@ -16,7 +18,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vecloom.functions.arrow_vectors import normalise, pack, unpack, valid_matrix
-from vecloom.session import materialise
+from vecloom.llm.shingles import mixed
+from vecloom.operators.skew import split_join
+from vecloom.session import materialise, stored_rows
 
 #: Rows the centroids are fitted on, at most: 64 components of 4 bytes make 17 MB in the driver.
 SAMPLE_ROWS = 65_536
@@ -24,7 +28,17 @@ SAMPLE_ROWS = 65_536
 MAX_CENTROIDS = 8_192
 #: Identical vectors with more copies than max(HOT_COPIES, n / MAX_HOT) are handled as one group; so there are at most MAX_HOT such groups.
 HOT_COPIES, MAX_HOT = 256, 4_096
-_SHARES = 1 << 20
+#: Rows of a cell that its own centroids are fitted on, and rows that one task sends on.
+CELL_SAMPLE, ROUTE_ROWS = 16_384, 65_536
+#: What a row is in a cell: it asks, it answers, it lies in the mass of a cell that cannot be divided.
+QUERY, DATA, MASS = 1, 2, 4
+ROUTED = "cell bigint, block int, id bigint, role tinyint, vec binary"
+_OPEN, _HASH_BITS = -1, 53
+
+
+def hashed_below(share: float, seed: int) -> Column:
+    """A condition on ``id`` that holds for about a share of all ids, the same for every run; shares down to 1e-15 are kept apart."""
+    return F.shiftrightunsigned(F.xxhash64("id", F.lit(seed)), 64 - _HASH_BITS) < F.lit(min(1 << _HASH_BITS, round(share * (1 << _HASH_BITS))))
 
 
 def _normalised(dimension: int, hashed: bool):
@@ -114,9 +128,7 @@ class Collection:
 
     def sample(self, rows: int = SAMPLE_ROWS, seed: int = 1) -> np.ndarray:
         """About ``rows`` vectors at most, chosen by a hash of the id; the same for every run and partitioning."""
-        share = min(_SHARES, int(rows / max(1, self.n) * _SHARES))
-        picked = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(_SHARES)) < share
-        table = self._valid(False, picked).toArrow()
+        table = self._valid(False, hashed_below(rows / max(1, self.n), seed)).toArrow()
         if not table.num_rows:
             return np.empty((0, self.dimension), np.float32)
         order = np.argsort(table["id"].to_numpy(), kind="stable")[: rows + rows // 8]
@@ -232,3 +244,162 @@ def _merge(ids: np.ndarray, far: np.ndarray, more: np.ndarray, score: np.ndarray
     far = np.where(again, np.inf, far)
     order = np.argsort(far, axis=1, kind="stable")[:, :keep]
     return np.where(np.isinf(x := np.take_along_axis(far, order, 1)), -1, np.take_along_axis(ids, order, 1)), x
+
+
+@dataclass(frozen=True)
+class Layout:
+    """How vectors are dealt into cells. ``store`` and ``seek`` are (cells at most, slack of the distance) of data and of queries."""
+
+    dimension: int
+    store: tuple[int, float]
+    seek: tuple[int, float] = (0, 0.0)
+    #: Rows a cell should hold before replication, and rows that a task may hold.
+    cell_rows: int = 600
+    task_rows: int = 16_384
+    #: Axes of the space that distances are measured in, one a column; None for the vectors themselves.
+    axes: np.ndarray | None = None
+    half: bool = False
+    #: Cosine to the centre from which a vector belongs to the mass of a cell that cannot be divided; None if queries visit all its blocks.
+    mass: float | None = None
+
+    @property
+    def dtype(self) -> type:
+        return np.float16 if self.half else np.float32
+
+    @property
+    def reach(self) -> int:
+        return max(self.store[0], self.seek[0])
+
+    def copies(self, cells: int) -> int:
+        """Of every vector so many are stored, at most."""
+        return min(self.store[0], cells)
+
+    def points(self, vectors: np.ndarray) -> np.ndarray:
+        return vectors if self.axes is None else vectors @ self.axes
+
+
+def _at_most(counts: np.ndarray, sample: int, rows: int) -> np.ndarray:
+    """Rows of cells by their counts in a sample, three standard deviations on the safe side."""
+    return (counts + 3 + 3 * np.sqrt(counts)) * (rows / max(1, sample)) if sample < rows else counts
+
+
+def _emitted(layout: Layout, near: np.ndarray, far: np.ndarray, role: np.ndarray, ids: np.ndarray, vectors: np.ndarray, numbers: np.ndarray, blocks: np.ndarray, centres: np.ndarray | None = None):
+    """A row for every cell a vector is sent to; ``blocks`` is _OPEN for cells that are divided further, else their number of blocks."""
+    place = np.arange(near.shape[1])[None, :]
+    chosen = [(near >= 0) & (place < most) & (far <= far[:, :1] * (1 + slack)) & ((role & bit) > 0)[:, None] for (most, slack), bit in ((layout.store, DATA), (layout.seek, QUERY))]
+    row, col = np.nonzero(chosen[0] | chosen[1])
+    cell, bits = near[row, col], chosen[0][row, col] * DATA + chosen[1][row, col] * QUERY
+    many = blocks[cell]
+    own = (ids[row].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % np.maximum(many, 1)
+    divided = many > 1
+    if layout.mass is None:
+        visits = divided & ((bits & QUERY) > 0)
+    else:
+        inner = np.zeros(len(row), bool)
+        if divided.any():
+            inner[divided] = np.einsum("ij,ij->i", vectors[row[divided]], centres[cell[divided]]) >= layout.mass
+        bits, visits = bits + inner * MASS, divided & ~inner
+    # visitors go to every block, all others to one
+    times = np.where(visits, many, 1)
+    pick = np.repeat(np.arange(len(row)), times)
+    block = np.arange(len(pick)) - np.repeat(np.cumsum(times) - times, times)
+    block = np.where(visits[pick], block, own[pick])
+    bits = bits[pick]
+    if layout.mass is None:
+        bits = np.where(block == own[pick], bits, bits & ~DATA)
+    block = np.where(many[pick] < 0, _OPEN, block)
+    short = vectors.astype(layout.dtype)
+    for i in range(0, len(pick), 8192):
+        part = slice(i, i + 8192)
+        at = row[pick[part]]
+        yield pa.RecordBatch.from_arrays([pa.array(numbers[cell[pick[part]]]), pa.array(block[part].astype(np.int32)), pa.array(ids[at]), pa.array(bits[part].astype(np.int8)), pack(short[at])], names=["cell", "block", "id", "role", "vec"])
+
+
+def _first_cells(shared, layout: Layout, blocks: np.ndarray):
+    numbers = np.arange(len(blocks))
+
+    def run(batches):
+        for batch in batches:
+            vectors = unpack(batch.column(1), layout.dimension)
+            if len(vectors):
+                role = DATA + QUERY * batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
+                near, far = shared.value.search(layout.points(vectors), layout.reach)
+                yield from _emitted(layout, near, far, role, batch.column(0).to_numpy(), vectors, numbers, blocks)
+
+    return run
+
+
+_PLAN = "cell bigint, centres binary, whole binary, blocks array<int>"
+
+
+def _fit_cell(layout: Layout):
+    """Centroids of one open cell from a sample of its rows, and what becomes of each of their cells."""
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        vectors = unpack(table["vec"], layout.dimension, layout.dtype)[np.argsort(table["id"].to_numpy(), kind="stable")].astype(np.float32)
+        rows = table["n"][0].as_py()
+        points = layout.points(vectors)
+        count = 1 if rows <= layout.task_rows else max(round(rows / layout.cell_rows), -(-4 * layout.store[0] * rows // layout.task_rows))
+        centres = fit_centroids(points, count)
+        home = nearest(points, centres, 1)[0][:, 0]
+        size = np.bincount(home, minlength=len(centres))
+        whole = np.zeros((len(centres), layout.dimension), np.float32)
+        np.add.at(whole, home, vectors)
+        whole /= np.maximum(np.linalg.norm(whole, axis=1, keepdims=True), 1e-30)
+        expected = _at_most(size, len(points), rows) * layout.copies(len(centres))
+        # most rows in one cell again: they are too close together to be told apart
+        alike = size * 2 > len(points)
+        blocks = np.where(expected <= layout.task_rows, 1, np.where(alike, np.maximum(2, np.ceil(expected / layout.task_rows)), _OPEN)).astype(np.int32)
+        return pa.table({"cell": [key[0].as_py()], "centres": pa.array([np.ascontiguousarray(centres, np.float32).tobytes()], pa.binary()), "whole": pa.array([whole.tobytes()], pa.binary()), "blocks": pa.array([blocks.tolist()], pa.list_(pa.int32()))})
+
+    return run
+
+
+def _next_cells(layout: Layout):
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return pa.Table.from_batches([], pa.schema([("cell", pa.int64()), ("block", pa.int32()), ("id", pa.int64()), ("role", pa.int8()), ("vec", pa.binary())]))
+        vectors = unpack(left["vec"], layout.dimension, layout.dtype).astype(np.float32)
+        blocks = np.array(right["blocks"][0].as_py())
+        centres, whole = (np.frombuffer(right[c][0].as_py(), np.float32).reshape(len(blocks), -1) for c in ("centres", "whole"))
+        near, far = nearest(layout.points(vectors), centres, layout.reach)
+        numbers = mixed(np.uint64(right["cell"][0].as_py() & (1 << 64) - 1) + np.arange(1, len(blocks) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+        return pa.Table.from_batches(list(_emitted(layout, near, np.sqrt(far), left["role"].to_numpy().astype(np.int64), left["id"].to_numpy(), vectors, numbers, blocks, whole)))
+
+    return run
+
+
+def spread(rows: DataFrame, graph: CentroidGraph, sample: np.ndarray, n: int, layout: Layout) -> DataFrame:
+    """``(cell, block, id, role, vec)``: every row of ``rows`` (``id, vec, asks``) in the cells it is stored and sought in.
+
+    ``graph`` and ``sample`` are the first centroids and what they were fitted on, ``n`` the rows of the whole
+    collection. A cell that may hold more rows than a task should is divided by centroids of its own, again and again,
+    with the same slack at every border. What cannot be divided, as most of it is in one place, is cut into blocks:
+    data are dealt to them, and whoever may be near all of it visits every block.
+    """
+    spark = rows.sparkSession
+    points = layout.points(sample)
+    size = np.bincount(graph.search(points, 1)[0][:, 0], minlength=len(graph.centres))
+    blocks = np.where(_at_most(size, len(points), n) * layout.copies(len(size)) > layout.task_rows, _OPEN, 1)
+    shared = spark.sparkContext.broadcast(graph)
+    routed = rows.select("id", "vec", "asks").mapInArrow(_first_cells(shared, layout, blocks), ROUTED)
+    if (blocks != _OPEN).all():
+        return routed
+    done = None
+    while True:
+        routed = materialise(routed, "routed")
+        settled = routed.where(F.col("block") != _OPEN)
+        done = settled if done is None else done.unionByName(settled)
+        left = routed.where(F.col("block") == _OPEN)
+        sizes = materialise(left.groupBy("cell").agg(F.count("*").alias("n")), "sizes")
+        if not (stored_rows(sizes) if stored_rows(sizes) is not None else sizes.count()):
+            return done
+        # open cells are large, so a share of their rows is enough to choose from
+        some = left.where(hashed_below(4 * CELL_SAMPLE / layout.task_rows, 2)).select("cell", "id", "vec")
+        some = some.withColumn("r", F.expr("row_number() over (partition by cell order by xxhash64(id, 2), id)")).where(F.col("r") <= CELL_SAMPLE).drop("r")
+        plan = materialise(some.join(sizes, "cell").groupBy("cell").applyInArrow(_fit_cell(layout), _PLAN), "plan")
+        parts = sizes.select("cell", F.ceil(F.col("n") / ROUTE_ROWS).alias("parts"))
+        dealt = split_join(left.drop("block"), parts, ["cell"], ROUTE_ROWS * 16, total=stored_rows(routed)).select("cell", "id", "role", "vec", F.pmod(F.xxhash64("id", F.lit(3)), F.col("parts")).alias("part"))
+        of_plan = sizes.select(F.col("cell").alias("c"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.ceil(F.col("n") / ROUTE_ROWS) - 1)).alias("p"))
+        plans = plan.join(of_plan, F.col("cell") == F.col("c")).select(F.col("c").alias("cell"), F.col("p").alias("part"), "centres", "whole", "blocks")
+        routed = dealt.groupBy("cell", "part").cogroup(plans.groupBy("cell", "part")).applyInArrow(_next_cells(layout), ROUTED)

@@ -8,21 +8,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vecloom.functions.arrow_vectors import exact_scores, pack, unpack
-from vecloom.llm.cells import CentroidGraph, Collection, fit_centroids, nearest
+from vecloom.llm.cells import MASS, CentroidGraph, Collection, Layout, fit_centroids, nearest, spread
+from vecloom.llm.shingles import mixed
 from vecloom.operators.components import connected_components
 from vecloom.session import materialise
 
 #: Vectors a cell should hold before margins are added.
 CELL_ROWS = 600
-#: A cell expected to hold more, margins included, is cut into blocks: half-precision vectors of 34 MB in a task.
-BLOCK_ROWS = 262_144
-#: Vectors that are compared all with all; a task that has more partitions them once more.
+#: A cell that may hold more, margins included, is divided by cells of its own: half-precision vectors of 4 MB in a task.
+BLOCK_ROWS = 32_768
+#: Vectors that a task compares all with all; a cell that holds more than was expected is partitioned once more within its task.
+EXACT_ROWS = 65_536
+#: Clusters of up to so many vectors are taken apart by one task.
 LOCAL_ROWS = 6_144
 #: Reduced components the space is partitioned by.
 REDUCED = 32
 #: Clusters with more members than max(HOT_ROWS, n / MAX_HOT_CLUSTERS) are joined by broadcast: at most MAX_HOT_CLUSTERS rows of 0.6 KB.
 HOT_ROWS, MAX_HOT_CLUSTERS = 20_000, 512
-_LOCAL_BITS = 20
 
 
 def principal_axes(sample: np.ndarray, components: int) -> np.ndarray:
@@ -32,80 +34,100 @@ def principal_axes(sample: np.ndarray, components: int) -> np.ndarray:
     return np.ascontiguousarray(axes[:, np.argsort(-values)[:components]].astype(np.float32))
 
 
-def _cell_rows(shared, blocks: np.ndarray, dimension: int, cells: int, margin: float):
-    """Every vector in half precision to its home cell and to the cells in whose margin it lies."""
-
-    def run(batches):
-        graph, axes = shared.value
-        for batch in batches:
-            vectors = unpack(batch.column(1), dimension)
-            if not len(vectors):
-                continue
-            ids = batch.column(0).to_numpy()
-            near, far = graph.search(vectors @ axes, cells)
-            row, col = np.nonzero((near >= 0) & (far <= far[:, :1] * (1 + margin)))
-            cell = near[row, col]
-            many = blocks[cell]
-            own = (ids[row].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % many
-            # in a cut cell every vector lies in two adjacent blocks of a ring, so that they share core points
-            times = np.where(many > 1, 2, 1)
-            pick = np.repeat(np.arange(len(row)), times)
-            block = (own[pick] + np.arange(len(pick)) - np.repeat(np.cumsum(times) - times, times)) % many[pick]
-            short = vectors.astype(np.float16)
-            for i in range(0, len(pick), 8192):
-                part = slice(i, i + 8192)
-                at = row[pick[part]]
-                yield pa.RecordBatch.from_arrays([pa.array(cell[pick[part]].astype(np.int32)), pa.array(block[part].astype(np.int32)), pa.array(ids[at]), pack(short[at])], names=["cell", "block", "id", "vec"])
-
-    return run
-
-
 def density_clusters(vectors: np.ndarray, least: float, points: int, block: int = 2048) -> tuple[np.ndarray, np.ndarray]:
     """Local clusters (-1: none) and core flags. A core has ``points`` vectors, itself included, at cosine >= ``least``."""
     n = len(vectors)
-    dense = np.empty((n, n), bool)
+    count = np.empty(n, np.int64)
     for i in range(0, n, block):
-        dense[i : i + block] = vectors[i : i + block] @ vectors.T >= least
-    core = dense.sum(axis=1) >= points
+        count[i : i + block] = (vectors[i : i + block] @ vectors.T >= least).sum(axis=1)
+    core = count >= points
     label = np.full(n, -1, np.int64)
-    count = 0
+    number = 0
     for start in np.flatnonzero(core):
         if label[start] >= 0:
             continue
-        label[start] = count
+        label[start] = number
         front = np.array([start])
         while len(front):
-            reached = np.flatnonzero(dense[front].any(axis=0) & (label < 0))
-            label[reached] = count
-            front = reached[core[reached]]
-        count += 1
+            # each core is compared with what is still open, once
+            free = np.flatnonzero(label < 0)
+            near = np.zeros(len(free), bool)
+            for i in range(0, len(front), block):
+                near |= (vectors[front[i : i + block]] @ vectors[free].T >= least).any(axis=0)
+            label[free[near]] = number
+            front = free[near & core[free]]
+        number += 1
+    return label, core
+
+
+def mass_cosine(least: float) -> float:
+    """A cosine to a common centre from which any two vectors have at least ``least`` with each other, with room for half precision."""
+    return float(np.cos(np.arccos(least) / 2)) + 2e-3
+
+
+def around_mass(vectors: np.ndarray, inner: np.ndarray, least: float, points: int, block: int = 1024) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`density_clusters` where the ``inner`` vectors, at least ``points``, are known to be near each other.
+
+    They are cores of one cluster, number 0, without being compared; only the others are, with all.
+    """
+    outer = np.flatnonzero(~inner)
+    core, label = inner.copy(), np.where(inner, 0, -1)
+    touches, edges = np.zeros(len(outer), bool), []
+    for i in range(0, len(outer), block):
+        near = vectors[outer[i : i + block]] @ vectors.T >= least
+        core[outer[i : i + block]] = near.sum(axis=1) >= points
+        touches[i : i + block] = near[:, inner].any(axis=1)
+        a, b = np.nonzero(near[:, outer])
+        edges.append((a + i, b))
+    if not len(outer):
+        return label, core
+    a, b = (np.concatenate(x) for x in zip(*edges, strict=True))
+    dense = core[outer]
+    # cores take the smallest number among their core neighbours until nothing changes; 0 is the mass
+    number = np.where(dense & touches, 0, np.arange(1, len(outer) + 1))
+    both = dense[a] & dense[b]
+    while True:
+        lower = number.copy()
+        np.minimum.at(lower, a[both], number[b[both]])
+        if (lower == number).all():
+            break
+        number = lower
+    border = np.full(len(outer), len(outer) + 1)
+    border[touches] = 0
+    near_core = dense[b]
+    np.minimum.at(border, a[near_core], number[b[near_core]])
+    number = np.where(dense, number, border)
+    label[outer] = np.where(number <= len(outer), number, -1)
     return label, core
 
 
 def local_clusters(vectors: np.ndarray, least: float, points: int, local_rows: int, cells: int = 3, margin: float = 0.3) -> tuple[np.ndarray, np.ndarray]:
-    """Like :func:`density_clusters` for any number of vectors: overlapping cells within the task, joined by shared core points."""
+    """Like :func:`density_clusters` for any number of vectors: overlapping cells within the task, joined by shared core points.
+
+    Cells that are still too large are partitioned again; where most vectors are in one place, that place is one
+    cluster and only the others are compared, see :func:`around_mass`.
+    """
     n = len(vectors)
     if n <= local_rows:
         return density_clusters(vectors, least, points)
+    centre = vectors.mean(axis=0, dtype=np.float64)
+    inner = vectors @ (centre / max(np.linalg.norm(centre), 1e-30)).astype(np.float32) >= mass_cosine(least)
+    if inner.sum() * 2 > n:
+        return around_mass(vectors, inner, least, points)
     centres = fit_centroids(vectors[:: max(1, n // 16_384)], max(2, round(4 * cells * n / local_rows)))
     near, far = nearest(vectors, centres, cells)
     row, col = np.nonzero(np.sqrt(far) <= np.sqrt(far[:, :1]) * (1 + margin))
     cell = near[row, col]
     order = np.argsort(cell, kind="stable")
-    groups = []
-    for own in np.split(row[order], np.flatnonzero(np.diff(cell[order])) + 1):
-        # vectors that cannot be told apart by cells: any part of them is as dense, parts share vectors as a ring
-        parts = -(-len(own) // local_rows)
-        groups += [own] if parts == 1 else [np.union1d(own[i::parts], own[(i + 1) % parts :: parts]) for i in range(parts)]
-    parent = np.empty(0, np.int64)
     at, label, core, count = [], [], np.zeros(n, bool), 0
-    for own in groups:
-        found, dense = density_clusters(vectors[own], least, points)
-        core[own] |= dense
-        inside = found >= 0
+    for own in np.split(row[order], np.flatnonzero(np.diff(cell[order])) + 1):
+        # a cell as large as the whole would never end: it is compared around whatever is in one place
+        part = local_clusters(vectors[own], least, points, local_rows, cells, margin) if len(own) < 0.9 * n else around_mass(vectors[own], inner[own] & (inner[own].sum() >= points), least, points)
+        core[own] |= part[1]
+        inside = part[0] >= 0
         at.append(own[inside])
-        label.append(found[inside] + count)
-        count += int(found.max(initial=-1)) + 1
+        label.append(part[0][inside] + count)
+        count += int(part[0].max(initial=-1)) + 1
     at, label, parent = np.concatenate(at), np.concatenate(label), np.arange(count)
 
     def find(x: int) -> int:
@@ -184,15 +206,28 @@ def _peel_cluster(dimension: int, least: float, smallest: int, points: int):
     return run
 
 
+def _local_numbers(cell: int, block: int, label: np.ndarray) -> np.ndarray:
+    """Numbers of local clusters that no two cells or blocks share."""
+    start = np.array([(cell * 0xC2B2AE3D27D4EB4F + block + 1) & (1 << 64) - 1], np.uint64)
+    return mixed(mixed(start) + label.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+
+
 def _cluster_cell(dimension: int, least: float, points: int, local_rows: int):
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         ids = table["id"].to_numpy()
         ids, first = np.unique(ids, return_index=True)
         vectors = unpack(table["vec"], dimension, np.float16)[first].astype(np.float32)
-        label, core = local_clusters(vectors, least, points, local_rows)
-        inside = label >= 0
+        inner = (table["role"].to_numpy()[first] & MASS) > 0
         cell, block = (x.as_py() for x in key)
-        local = ((cell << 14 | block) << _LOCAL_BITS) + label[inside]
+        if inner.sum() >= points:
+            label, core = around_mass(vectors, inner, least, points)
+        else:
+            label, core = local_clusters(vectors, least, points, local_rows)
+        inside = label >= 0
+        local = _local_numbers(cell, block, label[inside])
+        if inner.sum() >= points:
+            # the mass is one cluster in all of its blocks
+            local[label[inside] == 0] = _local_numbers(cell, -1, np.zeros(1, np.int64))[0]
         return pa.table({"id": ids[inside], "local": local, "core": core[inside]})
 
     return run
@@ -255,10 +290,10 @@ def join_clusters(rows: DataFrame, clusters: DataFrame, key: str, size: str, n:
     return rows.join(F.broadcast(hot), key).unionByName(rows.join(keys, key, "left_anti").join(cold, key))
 
 
-def _density_labels(found: Collection, vectors: DataFrame, shared, blocks: np.ndarray, dimension: int, cells: int, margin: float, least: float, points: int, local_rows: int) -> DataFrame:
+def _density_labels(found: Collection, vectors: DataFrame, first: tuple[CentroidGraph, np.ndarray], layout: Layout, least: float, points: int, exact_rows: int) -> DataFrame:
     """``(id, cluster)`` of the vectors (of ``found.vectors()``) in a density component, and of the copies of hot ones."""
-    spread = vectors.mapInArrow(_cell_rows(shared, blocks, dimension, cells, margin), "cell int, block int, id bigint, vec binary")
-    local = materialise(spread.groupBy("cell", "block").applyInArrow(_cluster_cell(dimension, least, points, local_rows), "id bigint, local bigint, core boolean"), "local")
+    dealt = spread(vectors.withColumn("asks", F.lit(False)), *first, found.n, layout)
+    local = materialise(dealt.groupBy("cell", "block").applyInArrow(_cluster_cell(layout.dimension, least, points, exact_rows), "id bigint, local bigint, core boolean"), "local")
 
     # local clusters that hold the same vector, a core of at least one of them, are joined
     several = local.groupBy("id").agg(F.collect_set("local").alias("all"), F.max("core").alias("core"), F.min("local").alias("first"))
@@ -284,6 +319,7 @@ def similarity_clusters(
     margin: float = 0.3,
     cell_rows: int = CELL_ROWS,
     block_rows: int = BLOCK_ROWS,
+    exact_rows: int = EXACT_ROWS,
     local_rows: int = LOCAL_ROWS,
 ) -> DataFrame:
     """``(id, typical_id, size, similarity FLOAT)`` of every vector that lies in a cluster.
@@ -293,7 +329,8 @@ def similarity_clusters(
 
     The vectors' principal components partition the space into balanced cells; a vector goes to its home
     cell and to up to ``cells`` - 1 more in whose margin (distance up to 1 + ``margin`` times the nearest)
-    it lies. Each cell is clustered by density on its own (a core has ``points`` vectors at cosine >=
+    it lies. Cells that may hold over ``block_rows`` rows are divided again in the same way, see
+    :func:`~vecloom.llm.cells.spread`. Each cell is clustered by density on its own (a core has ``points`` vectors at cosine >=
     ``least``); local clusters that share a core point are one. Where members are too far from the most typical
     one, a cluster of up to ``local_rows`` is taken apart by a single task (:func:`peel`); of a larger one the
     far members are clustered by density again, in further passes until no cluster is left to take apart.
@@ -308,14 +345,10 @@ def similarity_clusters(
         return spark.createDataFrame([], schema)
     sample = found.sample()
     axes = principal_axes(sample, min(REDUCED, dimension))
-    reduced = sample @ axes
-    centres = fit_centroids(reduced, round(found.n / cell_rows))
-    graph = CentroidGraph(centres)
-    share = np.bincount(graph.search(reduced, 1)[0][:, 0], minlength=len(centres)) / max(1, len(sample))
-    blocks = np.minimum(1 << 13, np.maximum(1, np.ceil(share * found.n * cells / block_rows))).astype(np.int64)
-    shared = spark.sparkContext.broadcast((graph, axes))
-    options = (dimension, cells, margin, least, points, local_rows)
-    labels = _density_labels(found, found.vectors(), shared, blocks, *options)
+    graph = CentroidGraph(fit_centroids(sample @ axes, round(found.n / cell_rows)))
+    layout = Layout(dimension, (cells, margin), cell_rows=cell_rows, task_rows=block_rows, axes=axes, half=True, mass=mass_cosine(least))
+    options = ((graph, sample), layout, least, points, exact_rows)
+    labels = _density_labels(found, found.vectors(), *options)
     # of the vectors only members are kept; every row repeated unchanged goes here
     everyone = found._valid(False) if not found._resolve else found._valid(True).join(found.members, ["id", "h"], "left_semi").select("id", "vec")
     members = materialise(everyone.join(labels, "id").dropDuplicates(["id"]).select("id", "cluster", "vec"), "members")
@@ -329,7 +362,7 @@ def similarity_clusters(
             break
         # each pass settles a large cluster or makes it smaller by one vector at least, so they end
         left = found.vectors().join(far.select("id"), "id", "left_semi")
-        labels = _density_labels(found, left, shared, blocks, *options).withColumn("cluster", F.xxhash64("cluster", F.lit(again)))
+        labels = _density_labels(found, left, *options).withColumn("cluster", F.xxhash64("cluster", F.lit(again)))
         members = materialise(near.unionByName(far.join(labels, "id").dropDuplicates(["id"]).select("id", "cluster", "vec")), "rest")
         again += 1
     return done.select("id", "typical_id", F.col("size").cast("bigint").alias("size"), F.col("score").alias("similarity"))

@@ -7,49 +7,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vecloom.functions.arrow_vectors import best_rows, exact_scores, pack, unpack
-from vecloom.llm.cells import CentroidGraph, Collection, fit_centroids
+from vecloom.functions.arrow_vectors import best_rows, exact_scores, unpack
+from vecloom.llm.cells import DATA, QUERY, CentroidGraph, Collection, Layout, fit_centroids, spread
 
 #: Vectors a posting list should hold before replication.
 LIST_ROWS = 600
-#: A list expected to hold more than this, replicas included, is searched in blocks.
+#: A list that may hold more than this, replicas included, is divided into lists of its own.
 BLOCK_ROWS = 16_384
-_QUERY, _DATA = 1, 2
-
-
-def _posting_rows(graph, blocks: np.ndarray, dimension: int, replicas: int, data_ratio: float, probes: int, query_ratio: float):
-    """Send every vector to its lists: as data to the nearest ones, as a query to those it has to search."""
-
-    def run(batches):
-        for batch in batches:
-            vectors = unpack(batch.column(1), dimension)
-            if not len(vectors):
-                continue
-            asks = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
-            ids = batch.column(0).to_numpy()
-            lists, far = graph.value.search(vectors, max(replicas, probes))
-            place = np.arange(lists.shape[1])[None, :]
-            there = (lists >= 0) & (place < replicas) & (far <= far[:, :1] * (1 + data_ratio))
-            sought = (lists >= 0) & (place < probes) & (far <= far[:, :1] * (1 + query_ratio)) & asks[:, None]
-            row, col = np.nonzero(there | sought)
-            posting, role = lists[row, col], sought[row, col] * _QUERY + there[row, col] * _DATA
-            many = blocks[posting]
-            own = (ids[row].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % many
-            # a query visits every block of its list, a data row lies in one of them
-            times = np.where(role & _QUERY, many, 1)
-            pick = np.repeat(np.arange(len(row)), times)
-            block = np.arange(len(pick)) - np.repeat(np.cumsum(times) - times, times)
-            block = np.where(role[pick] & _QUERY, block, own[pick])
-            role = (role[pick] & _QUERY) + np.where(block == own[pick], role[pick] & _DATA, 0)
-            for i in range(0, len(pick), 8192):
-                part = slice(i, i + 8192)
-                at = row[pick[part]]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(posting[pick[part]].astype(np.int32)), pa.array(block[part].astype(np.int32)), pa.array(ids[at]), pa.array(role[part].astype(np.int8)), pack(vectors[at])],
-                    names=["list", "block", "id", "role", "vec"],
-                )
-
-    return run
 
 
 def _search_list(dimension: int, k: int, least: float | None):
@@ -58,7 +22,7 @@ def _search_list(dimension: int, k: int, least: float | None):
         _, first = np.unique(ids, return_index=True)  # rows repeated unchanged meet in the same list
         ids, role = ids[first], table["role"].to_numpy()[first]
         vectors = unpack(table["vec"], dimension)[first]
-        query, data = (role & _QUERY) > 0, (role & _DATA) > 0
+        query, data = (role & QUERY) > 0, (role & DATA) > 0
         out = [(ids[query][q], near, score) for q, near, score in best_rows(vectors[query], ids[data], vectors[data], k, ids[query], least)] if query.any() and data.any() else []
         asked, near, score = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float32))
         return _lists_of(asked, near, score)
@@ -131,8 +95,9 @@ def nearest_vectors(
     Every vector is stored in the lists of its nearest centroid and of up to ``replicas`` - 1 more whose
     distance is at most 1 + ``data_ratio`` times the nearest one's. A query searches up to ``probes`` lists
     under the same kind of rule. Nothing within a list is approximate. The centroids come from a bounded
-    sample and are found through an in-memory graph; a list expected to hold more than ``block_rows`` rows
-    is cut into blocks that the query visits one by one in different tasks.
+    sample and are found through an in-memory graph; a list that may hold more than ``block_rows`` rows is
+    divided by centroids of its own, so lists stay as small however many vectors there are. Vectors of a list that
+    cannot be told apart are cut into blocks, all of which a query visits.
 
     Null ids and invalid vectors (null, empty, another length, null or non-finite components, all zeros)
     neither ask nor answer. Rows repeated unchanged count once. Of an id with several valid vectors one is
@@ -147,14 +112,10 @@ def nearest_vectors(
     if not found.n or not k:
         return spark.createDataFrame([], schema)
     sample = found.sample()
-    centres = fit_centroids(sample, round(found.n / list_rows))
-    graph = CentroidGraph(centres)
-    share = np.bincount(graph.search(sample, 1)[0][:, 0], minlength=len(centres)) / max(1, len(sample))
-    blocks = np.maximum(1, np.ceil(share * found.n * max(replicas, probes) / block_rows)).astype(np.int64)
-    shared = spark.sparkContext.broadcast(graph)
+    graph = CentroidGraph(fit_centroids(sample, round(found.n / list_rows)))
+    layout = Layout(dimension, (replicas, data_ratio), (probes, query_ratio), list_rows, block_rows)
     rows = found.vectors().select("id", "vec", (queries if queries is not None else F.lit(True)).alias("asks"))
-    postings = rows.mapInArrow(_posting_rows(shared, blocks, dimension, replicas, data_ratio, probes, query_ratio), "list int, block int, id bigint, role tinyint, vec binary")
-    partial = postings.groupBy("list", "block").applyInArrow(_search_list(dimension, k, least), schema)
+    partial = spread(rows, graph, sample, found.n, layout).groupBy("cell", "block").applyInArrow(_search_list(dimension, k, least), schema)
     merged = partial.repartition("id").sortWithinPartitions("id").mapInArrow(_merge_sorted(k), schema)
     if found.copies is None:
         return merged
