@@ -25,6 +25,8 @@ LOCAL_ROWS = 6_144
 REDUCED = 32
 #: Clusters with more members than max(HOT_ROWS, n / MAX_HOT_CLUSTERS) are joined by broadcast: at most MAX_HOT_CLUSTERS rows of 0.6 KB.
 HOT_ROWS, MAX_HOT_CLUSTERS = 20_000, 512
+#: Vectors whose sums, one for each batch of 10,000 and cluster, one task adds up.
+BATCH_SUMS = 100_000_000
 
 
 def principal_axes(sample: np.ndarray, components: int) -> np.ndarray:
@@ -376,6 +378,10 @@ def _around_typical(members: DataFrame, least: float, smallest: int, points: int
     cluster, only the most typical one is set aside and the rest counts as far.
     """
     sums = members.select("cluster", "vec").mapInArrow(_sums(dimension), "cluster bigint, size bigint, total binary")
+    salts = n // BATCH_SUMS
+    if salts > 1:
+        # a cluster may hold most of the vectors: its sums are added up in parts first
+        sums = sums.groupBy("cluster", F.pmod(F.xxhash64("total"), F.lit(salts)).alias("salt")).applyInArrow(_add_up(dimension), "cluster bigint, size bigint, total binary")
     totals = sums.groupBy("cluster").applyInArrow(_add_up(dimension), "cluster bigint, size bigint, total binary")
     totals = materialise(totals.where(F.col("size") >= smallest), "totals")
     scored = join_clusters(members, totals, "cluster", "size", n).select("id", "cluster", "vec", "total").mapInArrow(_typicality(dimension), "id bigint, cluster bigint, score double, vec binary")

@@ -73,8 +73,7 @@ def p7_reordered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _abuse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = read_table(spark, sf_dir, "documents")
-    return abuse.abuse_scores(documents, abuse.train(documents, read_table(spark, sf_dir, "labels")))
+    return abuse.judge(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
