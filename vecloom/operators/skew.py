@@ -41,5 +41,5 @@ def split_join(many: DataFrame, few: DataFrame, on: list[str], rows: int = ROWS,
     schema = ", ".join(f"`{c}` {many.schema[c].dataType.simpleString()}" for c in on)
     hot = F.broadcast(many.sparkSession.createDataFrame([(*r[:-1], -(-r["_n"] // rows)) for r in found], f"{schema}, _parts bigint"))
     dealt = many.join(hot, on, "left").withColumn("_part", F.pmod(F.xxhash64(*many.columns), F.coalesce("_parts", F.lit(1)))).drop("_parts")
-    spread = few.join(hot, on, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)).cast("bigint")).drop("_parts")
+    spread = few.join(hot, on, "left").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
     return dealt.join(spread, [*on, "_part"], how).drop("_part")
