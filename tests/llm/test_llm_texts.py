@@ -258,3 +258,62 @@ def test_classifier_without_labels(spark):
     model = abuse.train(docs, spark.createDataFrame([], "doc_id bigint, toxic int"))
     best = abuse.abuse_scores(docs, model).orderBy(F.desc("score")).first()
     assert best.doc_id == 99
+
+
+def test_class_numbers_that_clash_are_told_apart(spark):
+    rnd = random.Random(4)
+    rows = [("document", i, sentence(rnd, 40)) for i in range(40)]
+    rows += [("document", 100 + i, rows[i % 3][2]) for i in range(9)] + [("chunk", i, rows[i][2]) for i in range(3)]
+    df = spark.createDataFrame(rows, "kind string, key bigint, text string")
+    pairs = [sorted(map(tuple, near_duplicates.duplicate_pairs(df, class_bits=bits).collect())) for bits in (64, 4)]
+    groups = [sorted(map(tuple, near_duplicates.duplicate_groups(df, class_bits=bits).collect())) for bits in (64, 4)]
+    assert pairs[0] == pairs[1] and groups[0] == groups[1] and len(pairs[0]) == 3 * 6
+
+
+def test_very_many_copies_are_split(spark, monkeypatch):
+    from vecloom.operators import skew
+
+    monkeypatch.setattr(near_duplicates, "NARROW", 20)
+    monkeypatch.setattr(skew.split_join, "__defaults__", (20, "inner", None))
+    rnd = random.Random(14)
+    text = sentence(rnd, 40)
+    rows = [("document", i, text) for i in range(120)] + [("document", 500, text + " and one more"), ("document", 501, sentence(rnd, 40))]
+    got = near_duplicates.duplicate_groups(spark.createDataFrame(rows, "kind string, key bigint, text string")).collect()
+    assert {(r.key, r.group, r.links) for r in got} == {(i, 0, 120) for i in (*range(120), 500)}
+
+
+def test_unsplit_text_is_encoded_about_once():
+    rnd = random.Random(3)
+    encoder = tokens.Encoder(*tokens.public_vocabulary())
+    for text in ("".join(rnd.choice("etaoinshrdlu") for _ in range(1_000_000)), "a" * 200_000, "".join(rnd.choice("0123456789") for _ in range(200_000)), " " * 50_000 + "x"):
+        encoder.encoded = 0
+        got = encoder.encode_tree(text, 16_384)
+        assert (got == encoder.encode(text)).all() and encoder.encoded < 0.2 * len(text)
+
+
+def test_repetitive_texts_are_tiled_in_time():
+    import time
+
+    began = time.perf_counter()
+    word = np.full(20_000, 7, np.uint64)
+    assert leaks.tiles(word, word[:1_000], 13) == [(0, 0, 1_000)]
+    cycle = np.tile(np.arange(37, dtype=np.uint64), 540)
+    assert leaks.tiles(cycle, cycle[5:900], 5)[0][2] == 895
+    assert time.perf_counter() - began < 2
+
+
+def test_leaks_of_many_items_are_joined(spark):
+    rnd = random.Random(9)
+    items = [(i, sentence(rnd, 30)) for i in range(20)]
+    docs = [(d, " ".join([sentence(rnd, 20), *items[d % 20][1].split()[5 : 5 + d % 26], sentence(rnd, 20)])) for d in range(60)] + [(900, items[3][1] * 3), (900, items[3][1] * 3)]
+    df, tests = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    for length, least in ((13, 0.0), (5, 0.5)):
+        one, two = (sorted(map(tuple, leaks.leaks(df, tests, length, least, item_chars=n).collect())) for n in (leaks.ITEM_CHARS, 10))
+        assert one == two and one
+
+
+def test_a_model_is_stored(spark, tmp_path):
+    model = abuse.Model(np.arange(abuse.BUCKETS, dtype=np.float32), 1.5)
+    abuse.save_model(spark, model, str(tmp_path / "model"))
+    again = abuse.load_model(spark, str(tmp_path / "model"))
+    assert (again.weights == model.weights).all() and again.threshold == 1.5

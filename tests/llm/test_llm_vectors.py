@@ -157,3 +157,49 @@ def test_a_dense_mass_is_clustered_in_parts():
     small = normalise((np.eye(8)[0] * 3 - 1 + rng.normal(scale=0.05, size=(12, 8))).astype(np.float32))
     label, core = clusters.local_clusters(np.concatenate([mass, small]), 0.8, 4, local_rows=100)
     assert core.all() and len(set(label[:700])) == 1 and len(set(label[700:])) == 1 and label[0] != label[-1]
+
+
+def test_large_lists_are_divided_without_much_loss(spark, monkeypatch):
+    rows = blobs(12, [150, 90, 60, 40, 30, 20, 15], 300)
+    ids = np.arange(len(rows)) * 3
+    df = table(spark, ids, rows)
+    monkeypatch.setattr(cells, "MAX_CENTROIDS", 4)
+    layout = []
+    real = cells.spread
+    monkeypatch.setattr(neighbours, "spread", lambda *a: layout.append(real(*a)) or layout[-1])
+    truth = brute_neighbours(ids, rows, 5, 0.8)
+    near = found(neighbours.nearest_vectors(df, 5, least=0.8, dimension=16, block_rows=120, visits=1))
+    hit = sum(len({i for i, _ in near.get(q, [])} & {i for i, _ in v}) for q, v in truth.items())
+    assert hit >= 0.9 * sum(map(len, truth.values()))
+    sizes = layout[0].groupBy("cell", "block").count()
+    assert sizes.agg(F.max("count")).first()[0] <= 360 and sizes.count() > 4
+
+
+def test_samples_of_huge_collections_are_not_empty(spark):
+    ids = spark.range(200_000)
+    assert 0 < ids.where(cells.hashed_below(1e-4, 1)).count() < 100
+    # 65,536 of 4e11 vectors: the bound of the hash is far from 0, so its rounding is immaterial
+    bound = round(65_536 / 4e11 * (1 << 53))
+    assert abs(bound / (1 << 53) * 4e11 - 65_536) < 1
+
+
+def test_a_mass_that_cannot_be_divided_keeps_its_neighbours(spark):
+    rng = np.random.default_rng(3)
+    mass = np.ones((900, 16)) + rng.normal(scale=1e-7, size=(900, 16))
+    # beside the mass, a sparse group of its own and vectors at the edge of the mass
+    group = np.eye(16)[0] * 3 - 1 + rng.normal(scale=0.1, size=(30, 16))
+    edge = np.ones((5, 16)) + 2.2 * np.eye(16)[3:8]
+    rows = np.concatenate([mass, group, edge]).astype(np.float32)
+    df = table(spark, range(len(rows)), rows)
+    whole, parts = ({r.id: r.typical_id for r in clusters.similarity_clusters(df, dimension=16, cell_rows=1 << 30, **o).collect()} for o in ({}, {"block_rows": 200}))
+    assert whole.keys() == parts.keys() and len(set(parts.values())) == len(set(whole.values())) == 2
+
+
+def test_few_are_compared_around_a_mass():
+    rng = np.random.default_rng(5)
+    rows = normalise(np.concatenate([np.ones((60, 8)) + rng.normal(scale=0.01, size=(60, 8)), blobs(2, [12, 9], 40, dim=8, spread=0.1)]).astype(np.float32))
+    inner = np.arange(len(rows)) < 60
+    a, b = clusters.density_clusters(rows, 0.8, 4), clusters.around_mass(rows, inner, 0.8, 4)
+    assert (a[1] == b[1]).all() and ((a[0] >= 0) == (b[0] >= 0)).all()
+    core = a[1]
+    assert len({*zip(a[0][core].tolist(), b[0][core].tolist(), strict=True)}) == len(set(a[0][core].tolist())) == len(set(b[0][core].tolist()))

@@ -187,7 +187,19 @@ def fit_centroids(sample: np.ndarray, count: int, rounds: int = 5, seed: int = 7
         big = big[np.argsort(-size[big], kind="stable")][: MAX_CENTROIDS - len(centres)]
         parts = [_means(sample[home == j], 2, rounds, rng) for j in big]
         centres = np.concatenate([np.delete(centres, big, axis=0), *parts])
-    return np.ascontiguousarray(centres, dtype=np.float32)
+    return np.ascontiguousarray(_distinct(centres), dtype=np.float32)
+
+
+def _distinct(centres: np.ndarray, least: float = 1e-3, block: int = 1024) -> np.ndarray:
+    """Centroids without those that practically repeat an earlier one: who is near a dense place must find it as one cell."""
+    half = 0.5 * np.einsum("ij,ij->i", centres, centres)
+    kept = np.ones(len(centres), bool)
+    for i in range(0, len(centres), block):
+        part = centres[i : i + block]
+        squared = 2 * (half[i : i + block, None] + half[None, :] - part @ centres.T)
+        earlier = np.arange(len(centres))[None, :] < np.arange(i, i + len(part))[:, None]
+        kept[i : i + block] = ~((squared < least * least) & earlier).any(axis=1)
+    return centres[kept]
 
 
 class CentroidGraph:
@@ -256,9 +268,13 @@ class Layout:
     #: Rows a cell should hold before replication, and rows that a task may hold.
     cell_rows: int = 600
     task_rows: int = 16_384
+    #: Blocks of ``task_rows`` that queries of a cell may visit before the cell is divided instead.
+    visits: int = 1
     #: Axes of the space that distances are measured in, one a column; None for the vectors themselves.
     axes: np.ndarray | None = None
     half: bool = False
+    #: Distance within which a centre always counts as near, so that vectors beside a very dense cell meet it.
+    floor: float = 0.0
     #: Cosine to the centre from which a vector belongs to the mass of a cell that cannot be divided; None if queries visit all its blocks.
     mass: float | None = None
 
@@ -270,6 +286,11 @@ class Layout:
     def reach(self) -> int:
         return max(self.store[0], self.seek[0])
 
+    def blocks(self, expected: np.ndarray, alike: np.ndarray | bool = False) -> np.ndarray:
+        """How many blocks cells of so many rows are cut into, or _OPEN if they are divided."""
+        many = np.maximum(1, np.ceil(expected / self.task_rows))
+        return np.where((many <= self.visits) | alike, many, _OPEN).astype(np.int32)
+
     def copies(self, cells: int) -> int:
         """Of every vector so many are stored, at most."""
         return min(self.store[0], cells)
@@ -286,7 +307,7 @@ def _at_most(counts: np.ndarray, sample: int, rows: int) -> np.ndarray:
 def _emitted(layout: Layout, near: np.ndarray, far: np.ndarray, role: np.ndarray, ids: np.ndarray, vectors: np.ndarray, numbers: np.ndarray, blocks: np.ndarray, centres: np.ndarray | None = None):
     """A row for every cell a vector is sent to; ``blocks`` is _OPEN for cells that are divided further, else their number of blocks."""
     place = np.arange(near.shape[1])[None, :]
-    chosen = [(near >= 0) & (place < most) & (far <= far[:, :1] * (1 + slack)) & ((role & bit) > 0)[:, None] for (most, slack), bit in ((layout.store, DATA), (layout.seek, QUERY))]
+    chosen = [(near >= 0) & (place < most) & (far <= np.maximum(far[:, :1] * (1 + slack), layout.floor)) & ((role & bit) > 0)[:, None] for (most, slack), bit in ((layout.store, DATA), (layout.seek, QUERY))]
     row, col = np.nonzero(chosen[0] | chosen[1])
     cell, bits = near[row, col], chosen[0][row, col] * DATA + chosen[1][row, col] * QUERY
     many = blocks[cell]
@@ -348,8 +369,7 @@ def _fit_cell(layout: Layout):
         whole /= np.maximum(np.linalg.norm(whole, axis=1, keepdims=True), 1e-30)
         expected = _at_most(size, len(points), rows) * layout.copies(len(centres))
         # most rows in one cell again: they are too close together to be told apart
-        alike = size * 2 > len(points)
-        blocks = np.where(expected <= layout.task_rows, 1, np.where(alike, np.maximum(2, np.ceil(expected / layout.task_rows)), _OPEN)).astype(np.int32)
+        blocks = layout.blocks(expected, size * 2 > len(points))
         return pa.table({"cell": [key[0].as_py()], "centres": pa.array([np.ascontiguousarray(centres, np.float32).tobytes()], pa.binary()), "whole": pa.array([whole.tobytes()], pa.binary()), "blocks": pa.array([blocks.tolist()], pa.list_(pa.int32()))})
 
     return run
@@ -380,7 +400,7 @@ def spread(rows: DataFrame, graph: CentroidGraph, sample: np.ndarray, n: int, la
     spark = rows.sparkSession
     points = layout.points(sample)
     size = np.bincount(graph.search(points, 1)[0][:, 0], minlength=len(graph.centres))
-    blocks = np.where(_at_most(size, len(points), n) * layout.copies(len(size)) > layout.task_rows, _OPEN, 1)
+    blocks = layout.blocks(_at_most(size, len(points), n) * layout.copies(len(size)))
     shared = spark.sparkContext.broadcast(graph)
     routed = rows.select("id", "vec", "asks").mapInArrow(_first_cells(shared, layout, blocks), ROUTED)
     if (blocks != _OPEN).all():

@@ -67,6 +67,11 @@ def mass_cosine(least: float) -> float:
     return float(np.cos(np.arccos(least) / 2)) + 2e-3
 
 
+def chord(cosine: float) -> float:
+    """The distance of unit vectors with a cosine."""
+    return float(np.sqrt(max(0.0, 2 - 2 * cosine)))
+
+
 def around_mass(vectors: np.ndarray, inner: np.ndarray, least: float, points: int, block: int = 1024) -> tuple[np.ndarray, np.ndarray]:
     """:func:`density_clusters` where the ``inner`` vectors, at least ``points``, are known to be near each other.
 
@@ -118,7 +123,7 @@ def local_clusters(vectors: np.ndarray, least: float, points: int, local_rows: i
         return around_mass(vectors, inner, least, points)
     centres = fit_centroids(vectors[:: max(1, n // 16_384)], max(2, round(4 * cells * n / local_rows)))
     near, far = nearest(vectors, centres, cells)
-    row, col = np.nonzero(np.sqrt(far) <= np.sqrt(far[:, :1]) * (1 + margin))
+    row, col = np.nonzero(np.sqrt(far) <= np.maximum(np.sqrt(far[:, :1]) * (1 + margin), chord(least)))
     cell = near[row, col]
     order = np.argsort(cell, kind="stable")
     at, label, core, count = [], [], np.zeros(n, bool), 0
@@ -330,8 +335,8 @@ def similarity_clusters(
     most typical member, the one with the greatest mean cosine to all members (ties: the smaller id).
 
     The vectors' principal components partition the space into balanced cells; a vector goes to its home
-    cell and to up to ``cells`` - 1 more in whose margin (distance up to 1 + ``margin`` times the nearest)
-    it lies. Cells that may hold over ``block_rows`` rows are divided again in the same way, see
+    cell and to up to ``cells`` - 1 more in whose margin (distance up to 1 + ``margin`` times the nearest,
+    or within the radius of ``least``) it lies. Cells that may hold over ``block_rows`` rows are divided again in the same way, see
     :func:`~vecloom.llm.cells.spread`. Each cell is clustered by density on its own (a core has ``points`` vectors at cosine >=
     ``least``); local clusters that share a core point are one. Where members are too far from the most typical
     one, a cluster of up to ``local_rows`` is taken apart by a single task (:func:`peel`); of a larger one the
@@ -348,7 +353,7 @@ def similarity_clusters(
     sample = found.sample()
     axes = principal_axes(sample, min(REDUCED, dimension))
     graph = CentroidGraph(fit_centroids(sample @ axes, round(found.n / cell_rows)))
-    layout = Layout(dimension, (cells, margin), cell_rows=cell_rows, task_rows=block_rows, axes=axes, half=True, mass=mass_cosine(least))
+    layout = Layout(dimension, (cells, margin), cell_rows=cell_rows, task_rows=block_rows, axes=axes, half=True, floor=chord(least), mass=mass_cosine(least))
     options = ((graph, sample), layout, least, points, exact_rows)
     labels = _density_labels(found, found.vectors(), *options)
     # of the vectors only members are kept; every row repeated unchanged goes here

@@ -278,7 +278,7 @@ def near_duplicates(
 
     ends = pairs.select("kind", F.explode(F.array("a", "b")).alias("class")).distinct()
     wanted = materialise(classes.select("kind", "class", "rep").join(ends, ["kind", "class"], "left_semi").select(F.xxhash64("kind", F.col("rep")).alias("place")), "wanted")
-    bits = min(filter_bits, 1 << (32 * max(2, (stored_rows(wanted) or wanted.count()))).bit_length())
+    bits = max(32, min(filter_bits, 1 << (32 * max(2, (stored_rows(wanted) or wanted.count()))).bit_length()))
     let_through = source.sparkSession.sparkContext.broadcast(bitmap(wanted, bits))
     sets = source.select("kind", "key", "text", F.xxhash64("kind", "key").alias("place")).mapInArrow(_packed_sets(words, least_words, let_through, class_bits), "kind string, class bigint, check bigint, shingles binary")
     sets = materialise(_told_apart(sets, clashes).select("kind", "class", "shingles").dropDuplicates(["kind", "class"]), "sets")

@@ -12,8 +12,8 @@ from vecloom.llm.cells import DATA, QUERY, CentroidGraph, Collection, Layout, fi
 
 #: Vectors a posting list should hold before replication.
 LIST_ROWS = 600
-#: A list that may hold more than this, replicas included, is divided into lists of its own.
-BLOCK_ROWS = 16_384
+#: A list that may hold more than this, replicas included, is cut into blocks, and one of over VISITS blocks is divided into lists of its own.
+BLOCK_ROWS, VISITS = 16_384, 16
 
 
 def _search_list(dimension: int, k: int, least: float | None):
@@ -85,6 +85,7 @@ def nearest_vectors(
     query_ratio: float = 0.3,
     list_rows: int = LIST_ROWS,
     block_rows: int = BLOCK_ROWS,
+    visits: int = VISITS,
 ) -> DataFrame:
     """``(id, near ARRAY<BIGINT>, score ARRAY<FLOAT>)``: the k most similar vectors of each queried vector.
 
@@ -96,8 +97,9 @@ def nearest_vectors(
     distance is at most 1 + ``data_ratio`` times the nearest one's. A query searches up to ``probes`` lists
     under the same kind of rule. Nothing within a list is approximate. The centroids come from a bounded
     sample and are found through an in-memory graph; a list that may hold more than ``block_rows`` rows is
-    divided by centroids of its own, so lists stay as small however many vectors there are. Vectors of a list that
-    cannot be told apart are cut into blocks, all of which a query visits.
+    cut into blocks that a query visits one by one in different tasks; one of over ``visits`` blocks is divided by
+    centroids of its own instead, so that the work for a query does not grow with the collection, unless most of
+    its vectors are too close together to be told apart.
 
     Null ids and invalid vectors (null, empty, another length, null or non-finite components, all zeros)
     neither ask nor answer. Rows repeated unchanged count once. Of an id with several valid vectors one is
@@ -113,7 +115,7 @@ def nearest_vectors(
         return spark.createDataFrame([], schema)
     sample = found.sample()
     graph = CentroidGraph(fit_centroids(sample, round(found.n / list_rows)))
-    layout = Layout(dimension, (replicas, data_ratio), (probes, query_ratio), list_rows, block_rows)
+    layout = Layout(dimension, (replicas, data_ratio), (probes, query_ratio), list_rows, block_rows, visits)
     rows = found.vectors().select("id", "vec", (queries if queries is not None else F.lit(True)).alias("asks"))
     partial = spread(rows, graph, sample, found.n, layout).groupBy("cell", "block").applyInArrow(_search_list(dimension, k, least), schema)
     merged = partial.repartition("id").sortWithinPartitions("id").mapInArrow(_merge_sorted(k), schema)
