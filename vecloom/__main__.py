@@ -6,15 +6,20 @@ import argparse
 import json
 import os
 import sys
+import tempfile
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from vecloom.errors import InvalidArgument, VectorError
 from vecloom.functions.text import chunk_rows
-from vecloom.operators import evaluation, hnsw, knn
+from vecloom.operators import evaluation, hnsw, knn, lookup
+from vecloom.plans.files import SharedFile
+from vecloom.plans.graphs import GraphStore
 from vecloom.plans.store import VectorStore
+from vecloom.session import materialise
 from vecloom.sources import csv, jsonl, manifest, snapshot_file
+from vecloom.sources.generate import random_vectors
 
 
 def build(spark: SparkSession, a: argparse.Namespace) -> dict:
@@ -90,6 +95,36 @@ def describe(spark: SparkSession, a: argparse.Namespace) -> dict:
     return manifest.create(spark, a.index, a.index_type, a.dimension, a.count, a.revision)
 
 
+def rebuild(spark: SparkSession, a: argparse.Namespace) -> dict:
+    """A graph file of the live nodes of another one; input and output must differ, and the ids must be the same."""
+    if os.path.realpath(a.input) == os.path.realpath(a.output):
+        raise InvalidArgument("input and output are the same file")
+    with tempfile.TemporaryDirectory() as folder:
+        file = snapshot_file.GraphFile.decode(SharedFile(spark, a.input).all())
+        config = hnsw.GraphConfig(file.vectors.shape[1], file.max_connections, file.ef_construction, file.ef_search, file.seed, file.heuristic)
+        store = GraphStore(spark, f"{folder}/graph", config)
+        store.import_files(a.input)
+        before = store.stats()
+        store.rebuild()
+        store.export_file(a.output, a.overwrite)
+        after = store.stats()
+    return {"nodes_before": before["nodes"], "live": after["live"], "nodes": after["nodes"]}
+
+
+def sweep(spark: SparkSession, a: argparse.Namespace) -> list:
+    """Recall, short and leaked results and queries a second of a graph over generated vectors, for every ef and share of deletions."""
+    vectors = materialise(random_vectors(spark, a.count, a.dimension), "vectors")
+    queries = materialise(random_vectors(spark, a.queries, a.dimension, seed=a.seed, key="query_id", values="query"), "queries")
+    config = hnsw.GraphConfig(a.dimension, a.m, a.ef_construction, heuristic=True)
+    index, out = materialise(hnsw.build(vectors, config), "graph"), []
+    for percent in sorted(set(a.deleted)):
+        gone = lookup.deletion_prefix(vectors, percent)
+        erased = materialise(hnsw.erase(index, gone), "erased")
+        rows = hnsw.sweep(erased, queries, lookup.survivors(vectors, gone), a.k, a.ef, config).collect()
+        out += [{"deleted_percent": percent, **r.asDict()} for r in rows]
+    return out
+
+
 def parser() -> argparse.ArgumentParser:
     out = argparse.ArgumentParser(prog="vecloom", description=__doc__)
     commands = out.add_subparsers(required=True)
@@ -111,6 +146,9 @@ def parser() -> argparse.ArgumentParser:
     command(validate, option("--vectors", **needed), option("--queries", **needed), option("--k", type=int, default=10), option("--index", choices=("flat", "hnsw"), default="flat"), option("--m", type=int, default=16), option("--ef-construction", type=int, default=200), option("--ef", type=int, default=50), option("--minimum-recall", type=float, default=0.0))
     command(chunk, option("--input", **needed), option("--output", **needed), option("--words", type=int, default=120), option("--overlap", type=int, default=20))
     command(describe, option("--index", **needed), option("--index-type", choices=("flat", "hnsw"), **needed), option("--dimension", type=int, **needed), option("--count", type=int, **needed), option("--revision", default=""))
+    command(rebuild, option("--input", **needed), option("--output", **needed), option("--overwrite", action="store_true"))
+    numbers = {"type": int, "nargs": "+"}
+    command(sweep, option("--count", type=int, default=10_000), option("--dimension", type=int, default=128), option("--queries", type=int, default=1_000), option("--k", type=int, default=10), option("--m", type=int, default=16), option("--ef-construction", type=int, default=200), option("--ef", default=[10, 50, 100, 200], **numbers), option("--deleted", default=[0], **numbers), option("--seed", type=int, default=1))
     return out
 
 

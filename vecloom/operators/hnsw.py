@@ -11,16 +11,21 @@ from __future__ import annotations
 import hashlib
 import heapq
 import math
+import time
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vecloom.errors import InvalidArgument
 from vecloom.functions.arrow_vectors import exact_scores, normalise, pack, unpack, valid_matrix
-from vecloom.operators.knn import RESULT, ranked
+from vecloom.limits import ResourceLimits
+from vecloom.operators import evaluation
+from vecloom.operators.knn import RESULT, check_vectors, knn, query_blocks, ranked
+from vecloom.session import materialise
+from vecloom.sources.snapshot_file import GraphFile
 
 SCHEMA = "shard int, node int, vector_id bigint, vec binary, deleted boolean, links array<array<int>>"
 #: Levels are at most this high. Fixed value.
@@ -187,7 +192,46 @@ def build(vectors: DataFrame, config: GraphConfig, shards: int | None = None) ->
     """
     rows = vectors.select(F.col("vector_id").cast("bigint").alias("vector_id"), "values").where("vector_id is not null")
     count = shards or max(1, -(-rows.count() // SHARD_ROWS))
-    return rows.groupBy(F.pmod(F.xxhash64("vector_id"), F.lit(count)).cast("int").alias("shard")).applyInArrow(_build(config), SCHEMA)
+    return rows.groupBy(shard_of(count).alias("shard")).applyInArrow(_build(config), SCHEMA)
+
+
+def shard_of(count: int):
+    """The shard of a ``vector_id`` in an index of so many shards."""
+    return F.pmod(F.xxhash64("vector_id"), F.lit(count)).cast("int")
+
+
+def _insert(config: GraphConfig):
+    def run(key: tuple[pa.Scalar, ...], old: pa.Table, new: pa.Table) -> pa.Table:
+        at, matrix = valid_matrix(new["values"].combine_chunks(), config.dimension)
+        ids, first = np.unique(new["vector_id"].to_numpy()[at], return_index=True)
+        fresh = normalise(matrix[first])
+        if not old.num_rows:
+            return _as_table(_built(config, ids, fresh), key[0].as_py())
+        graph = _loaded(config, old)
+        before = len(graph.ids)
+        graph.ids, graph.vectors = np.concatenate([graph.ids, ids]), np.concatenate([graph.vectors, fresh.astype(np.float64)])
+        graph.deleted = np.append(graph.deleted, np.zeros(len(ids), bool))
+        for node in range(before, before + len(ids)):
+            graph.insert(node)
+        return _as_table(graph, key[0].as_py())
+
+    return run
+
+
+def insert(index: DataFrame, vectors: DataFrame, config: GraphConfig, shards: int) -> DataFrame:
+    """The index with ``vectors`` (``vector_id, values``) added to its graphs, in id order; stored nodes keep their numbers.
+
+    All or nothing: an id that the index has, also as a deleted node, or that occurs twice, a null id and an invalid
+    vector are errors before anything is built, and as an index is a table, a failure on the way leaves the old one
+    as it was. ``shards`` is the number the index was built with. No vectors give the index again.
+    """
+    check_vectors(vectors, config.dimension)
+    rows = vectors.select(F.col("vector_id").cast("bigint").alias("vector_id"), "values")
+    known = rows.join(index.select("vector_id"), "vector_id", "left_semi").limit(1).collect()
+    if known:
+        raise InvalidArgument(f"vector id {known[0].vector_id} is in the index")
+    dealt = rows.withColumn("shard", shard_of(shards))
+    return index.groupBy("shard").cogroup(dealt.groupBy("shard")).applyInArrow(_insert(config), SCHEMA)
 
 
 def _loaded(config: GraphConfig, table: pa.Table) -> Graph:
@@ -205,7 +249,7 @@ def _loaded(config: GraphConfig, table: pa.Table) -> Graph:
 def _search(shared, config: GraphConfig, k: int, ef: int):
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         graph = _loaded(config, table)
-        ids, queries = shared.value
+        ids, queries, _ = shared.value
         asked, nodes = [], []
         for i, q in enumerate(queries.astype(np.float64)):
             found = graph.search(q, k, ef)
@@ -217,31 +261,27 @@ def _search(shared, config: GraphConfig, k: int, ef: int):
     return run
 
 
-def search(index: DataFrame, queries: DataFrame, k: int, config: GraphConfig, ef: int | None = None, query_block: int = 4_096) -> DataFrame:
+def search(index: DataFrame, queries: DataFrame, k: int, config: GraphConfig, ef: int | None = None, query_block: int | None = None) -> DataFrame:
     """``(query_id, rank, vector_id, score FLOAT)`` of ``queries`` (``query_id, query``).
 
     ``ef`` (default ``config.ef_search``) is raised to k. Deleted nodes lead on but are never returned; with
     fewer than k live vectors all that are reached come out. ``k`` 0 gives no row before ``ef`` is looked at;
-    then an ``ef`` of 0 is an error. Invalid queries give no row.
+    then an ``ef`` of 0 is an error. Invalid queries give no row. Every shard is loaded once for up to 64 MB of queries.
     """
     spark = index.sparkSession
-    result = spark.createDataFrame([], RESULT)
     if k <= 0:
-        return result
+        return spark.createDataFrame([], RESULT)
     ef = config.ef_search if ef is None else ef
     if ef <= 0:
         raise InvalidArgument("ef must be positive")
-    blocks = -(-queries.count() // query_block)
-    for b in range(blocks):
-        own = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        table = own.select(F.col("query_id").cast("bigint"), "query").where("query_id is not null").toArrow()
-        at, matrix = valid_matrix(table["query"], config.dimension) if table.num_rows else ([], None)
-        if not len(at):
-            continue
-        shared = spark.sparkContext.broadcast((table["query_id"].to_numpy()[at], normalise(matrix)))
+    asked = queries.select(F.col("query_id").cast("bigint").alias("query_id"), "query", F.lit(k).cast("bigint").alias("k")).where("query_id is not null")
+    result = None
+    for block in query_blocks(asked, config.dimension, query_block):
+        shared = spark.sparkContext.broadcast(block)
         partial = index.groupBy("shard").applyInArrow(_search(shared, config, k, ef), "query_id bigint, vector_id bigint, score float")
-        result = result.unionByName(ranked(partial, k).select("query_id", "rank", "vector_id", "score"))
-    return result
+        found = ranked(partial, k).select("query_id", "rank", "vector_id", "score")
+        result = found if result is None else result.unionByName(found)
+    return spark.createDataFrame([], RESULT) if result is None else result
 
 
 def erase(index: DataFrame, deleted: DataFrame) -> DataFrame:
@@ -290,3 +330,52 @@ def broken_edges(index: DataFrame) -> DataFrame:
     one_way = every.join(back, ["shard", "layer", "node", "other"], "left_anti").withColumn("problem", F.lit("one way"))
     loops = every.where("node = other").withColumn("problem", F.lit("loop"))
     return missing.unionByName(one_way).unionByName(loops).select("shard", "layer", "node", "other", "problem")
+
+
+def to_file(index: DataFrame, config: GraphConfig, limits=None) -> GraphFile:
+    """The binary form of an index of one shard; a file is made in one process, so its nodes are bounded by the limits."""
+    limit = (limits or ResourceLimits()).vectors
+    table = index.limit(limit + 1).toArrow()
+    if table.num_rows > limit or len(set(table["shard"].to_pylist())) > 1:
+        raise InvalidArgument("a graph file holds one shard within the limits")
+    graph = _loaded(config, table)
+    return GraphFile(graph.ids.astype(np.int64).view(np.uint64), graph.vectors.astype(np.float32).reshape(len(graph.ids), config.dimension), graph.links, graph.deleted, max(graph.entry, 0), config.max_connections, config.ef_construction, config.ef_search, config.seed, config.heuristic)
+
+
+def _of_files(limits):
+    def run(batches):
+        for batch in batches:
+            for shard, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                file = GraphFile.decode(content, limits)
+                graph = Graph(GraphConfig(file.vectors.shape[1]), file.ids.view(np.int64), file.vectors)
+                graph.links, graph.deleted = file.links, file.deleted
+                yield from _as_table(graph, shard).to_batches()
+
+    return run
+
+
+def from_files(spark: SparkSession, path: str, limits=None) -> DataFrame:
+    """The index of one or many graph files, a shard each in order of their names, decoded and fully validated by a task each."""
+    files = spark.read.format("binaryFile").load(path)
+    names = files.select("path").distinct().withColumn("shard", (F.row_number().over(Window.orderBy("path")) - 1).cast("int"))
+    return files.join(F.broadcast(names), "path").select("shard", "content").mapInArrow(_of_files(limits), SCHEMA)
+
+
+def sweep(index: DataFrame, queries: DataFrame, vectors: DataFrame, k: int, efs: list[int], config: GraphConfig) -> DataFrame:
+    """``(ef, queries, mean_recall, min_recall, short, leaked, seconds, qps)``: a search for every distinct ``ef``, in ascending order.
+
+    ``vectors`` (``vector_id, values``) are the live vectors that the exact result is taken from; ``short`` counts queries
+    with fewer results than it, ``leaked`` results that are not live.
+    """
+    spark = index.sparkSession
+    truth = materialise(knn(queries, vectors, k, config.dimension), "truth")
+    rows = []
+    for ef in sorted(set(efs)):
+        began = time.perf_counter()
+        found = materialise(search(index, queries, k, config, ef), "found")
+        took = time.perf_counter() - began
+        quality = evaluation.recall_summary(evaluation.recall(truth, found)).first()
+        short = evaluation.short_queries(truth, found).first().short
+        gone = found.join(vectors.select("vector_id"), "vector_id", "left_anti").count()
+        rows.append((ef, quality.queries, quality.mean_recall, quality.min_recall, short, gone, took, quality.queries / took))
+    return spark.createDataFrame(rows, "ef int, queries bigint, mean_recall double, min_recall double, short bigint, leaked bigint, seconds double, qps double")

@@ -36,6 +36,9 @@ class SharedFile:
         """The first bytes of the file, all of them if there are no more than ``most``."""
         return bytes(self._read(lambda stream: stream.readNBytes(most)))
 
+    def all(self) -> bytes:
+        return self.head(self.size())
+
     def sha256(self) -> str:
         """Lower-case hexadecimal digest; the content passes through the JVM in pieces."""
         return self._read(self._jvm.org.apache.commons.codec.digest.DigestUtils.sha256Hex)
@@ -80,12 +83,32 @@ class Folder:
             stream.hsync()
         finally:
             stream.close()
+        self._replace(temporary, name)
+
+    def _replace(self, temporary: str, name: str) -> None:
         context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._at("").toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
         rename = self._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
         options = self.spark.sparkContext._gateway.new_array(self._jvm.org.apache.hadoop.fs.Options.Rename, 1)
         options[0] = rename
         context.rename(context.makeQualified(self._at(temporary)), context.makeQualified(self._at(name)), options)
 
+    def write_bytes(self, name: str, content: bytes, overwrite: bool, check) -> None:
+        """A file that is written under another name, read back, passed to ``check`` and renamed; it may replace another with ``overwrite`` only."""
+        if not overwrite and self.exists(name):
+            raise InvalidArgument(f"{self.path}/{name} exists")
+        temporary = f".{name}-{uuid.uuid4().hex}"
+        try:
+            stream = self._fs.create(self._at(temporary), False)
+            try:
+                stream.write(bytearray(content))
+                stream.hsync()
+            finally:
+                stream.close()
+            check(SharedFile(self.spark, f"{self.path}/{temporary}").head(len(content) + 1))
+            self._replace(temporary, name)
+        finally:
+            self.delete(temporary)
+
     def claim(self, name: str, value: dict) -> None:
         """Create a file that must not exist yet."""
         if self.exists(name):

@@ -3,13 +3,19 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecloom.errors import InvalidArgument
+from vecloom.functions.arrow_vectors import normalise
+from vecloom.functions.text import check_documents, chunk_rows
 from vecloom.operators.lookup import check_same_ids
 from vecloom.plans.files import Folder, SharedFile
+from vecloom.session import materialise
 from vecloom.sources import jsonl, snapshot_file
 
 #: Bytes of a manifest and of a revision at most, and the smallest snapshot. Fixed values.
@@ -109,6 +115,29 @@ def write_dataset(chunks: DataFrame, vectors: DataFrame, folder: str, model: str
     return manifest
 
 
+def _encoded(encode: Callable[[list[str]], np.ndarray], rows: int):
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
+                vectors = normalise(np.asarray(encode(part.column(1).to_pylist()), np.float32))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(vectors), pa.list_(pa.float32()))], names=["vector_id", "values"])
+
+    return run
+
+
+def build_dataset(documents: DataFrame, encode: Callable[[list[str]], np.ndarray], folder: str, model: str, dimension: int, most: int = 120, overlap: int = 20, rows: int = 256) -> dict:
+    """Documents (``document_id, text, source``) to a text dataset: windows, stable ids, vectors by ``encode``, manifest.
+
+    ``encode`` is the place for a text model: it takes up to ``rows`` texts and gives a matrix with a row each, in
+    the tasks. Rows are brought to length 1; a row of another dimension or without direction is an error.
+    """
+    check_documents(documents)
+    chunks = materialise(chunk_rows(documents, most, overlap), "chunks")
+    vectors = materialise(chunks.select("vector_id", "text").mapInArrow(_encoded(encode, rows), "vector_id decimal(20,0), values array<float>"), "encoded")
+    return write_dataset(chunks, vectors, folder, model, dimension, most, overlap)
+
+
 def read_dataset(spark: SparkSession, folder: str) -> tuple[dict, DataFrame, DataFrame]:
     """Manifest, vectors and chunks of a text dataset, checked against each other."""
     from vecloom.functions.vector import has_dimension, is_unit
