@@ -11,8 +11,11 @@ from pyspark.sql import functions as F
 from vecloom.functions import text, vector
 from vecloom.functions.checksums import request_digest
 from vecloom.operators import dedup, evaluation, hnsw, knn, lookup, service_log
-from vecloom.session import delete_path, materialise, read_table, shared_dir
-from vecloom.sources import manifest
+from vecloom.session import delete_path, materialise, read_table, scratch_path, shared_dir
+from vecloom.limits import ResourceLimits
+from vecloom.plans import graphs
+from vecloom.plans.store import VectorStore
+from vecloom.sources import csv, jsonl, manifest
 from vecloom.streaming import durable
 
 SQL: dict[str, str] = {}
@@ -427,7 +430,20 @@ def sequence_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return service_log.log_gaps(read_table(spark, sf_dir, "service_log"), "log_id")
 
 
-@query()
+@query(
+    f"""
+WITH RECURSIVE s AS (SELECT delivery_id, coalesce(client_operation_id, '') AS op, coalesce(dedup_epoch, 0) AS epoch, id, received_at, coalesce(len("values"), 0) AS size, {_BITS} AS bits,
+  coalesce(len("values") = 64 AND len(list_filter("values", lambda x: x IS NOT NULL AND isfinite(x))) = 64 AND len(list_filter("values", lambda x: x <> 0)) > 0, FALSE) AS usable FROM add_vector_requests),
+m AS (SELECT coalesce(nullif(max(epoch), 0), 1) AS current FROM s),
+t AS (SELECT *, CASE WHEN op = '' OR strlen(op) > 256 OR id IS NULL OR size <> 64 THEN 'INVALID_REQUEST' WHEN epoch < greatest(0, current - 63) THEN 'EXPIRED_EPOCH' WHEN epoch < current THEN 'CLOSED_EPOCH' END AS early FROM s, m),
+c AS (SELECT row_number() OVER (ORDER BY received_at NULLS LAST, delivery_id) AS n, op, id, bits, usable FROM t WHERE early IS NULL),
+r AS (SELECT 0::BIGINT AS n, []::STRUCT(op VARCHAR, id BIGINT, bits VARCHAR)[] AS kept, '' AS outcome
+  UNION ALL SELECT n, CASE WHEN outcome = 'NEW' THEN list_append(kept, {{'op': op, 'id': id, 'bits': bits}}) ELSE kept END, outcome FROM (
+    SELECT n, kept, op, id, bits, CASE WHEN len(old) > 0 THEN CASE WHEN old[1].id = id AND old[1].bits = bits THEN 'REPLAY' ELSE 'CONFLICT' END
+      WHEN len(list_filter(kept, lambda x: x.id = id)) > 0 THEN 'DUPLICATE_VECTOR' WHEN NOT usable THEN 'INVALID_VECTOR' ELSE 'NEW' END AS outcome
+    FROM (SELECT c.n, c.op, c.id, c.bits, c.usable, r.kept, list_filter(r.kept, lambda x: x.op = c.op) AS old FROM r JOIN c ON c.n = r.n + 1)))
+SELECT outcome, count(*) AS requests FROM (SELECT early AS outcome FROM t WHERE early IS NOT NULL UNION ALL SELECT outcome FROM r WHERE n > 0) GROUP BY outcome"""
+)
 def durable_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every insert request committed to a new log in order of arrival: outcomes and how many of each."""
     operation, epoch = dedup.operation_key()
@@ -532,7 +548,7 @@ def hnsw_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hnsw.stats(_index(spark, sf_dir))
 
 
-@query()
+@query("SELECT 0::INT AS shard, 0::INT AS layer, 0::INT AS node, 0::INT AS other, '' AS problem WHERE FALSE")
 def hnsw_edge_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges of the graphs that break a rule: none."""
     return hnsw.broken_edges(_index(spark, sf_dir))
@@ -543,3 +559,84 @@ def hnsw_live_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Live ids after two thirds of the nodes were deleted and the graphs built anew."""
     e = _embeddings(spark, sf_dir)
     return hnsw.live_ids(hnsw.rebuild(hnsw.erase(_index(spark, sf_dir), e.where("vector_id % 3 <> 0")), _GRAPH))
+
+
+@query("SELECT count(*) AS nodes, count(*) FILTER (vec_id % 3 = 0) AS live, count(*) FILTER (vec_id % 3 <> 0) AS deleted FROM embeddings")
+def hnsw_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes, live and deleted ones after two thirds were marked as deleted."""
+    e = _embeddings(spark, sf_dir)
+    return hnsw.stats(hnsw.erase(_index(spark, sf_dir), e.where("vector_id % 3 <> 0"))).select("nodes", "live", "deleted")
+
+
+@query("SELECT vec_id AS vector_id FROM embeddings WHERE vec_id % 4 <> 1")
+def hnsw_insert_live_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Live ids of a stored graph that half of the embeddings were inserted into after the others, and a quarter deleted."""
+    e = _embeddings(spark, sf_dir)
+    store = graphs.GraphStore(spark, _scratch(spark), _GRAPH, 4)
+    store.insert(e.where("vector_id % 2 = 0"))
+    store.insert(e.where("vector_id % 2 = 1"))
+    store.erase(e.where("vector_id % 4 = 1"))
+    return hnsw.live_ids(store.index())
+
+
+# --- sources and sinks, there and back -----------------------------------------------------------------------
+
+def _scratch(spark: SparkSession) -> str:
+    """A folder that is removed when the process ends, as intermediate tables are."""
+    return scratch_path(spark, "scratch")
+
+
+_STORED = f"WITH {_VALID} SELECT id AS vector_id, generate_subscripts(v, 1)::INT - 1 AS place, round(unnest(v)::DOUBLE, 6) AS component FROM valid"
+
+
+def _unit_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = _vectors(spark, sf_dir).where(vector.vector_error("values", 64).isNull() & F.col("vector_id").isNotNull()).distinct()
+    return v.select("vector_id", vector.normalize_l2("values").alias("values"))
+
+
+def _components(vectors: DataFrame) -> DataFrame:
+    return vectors.select(F.col("vector_id").cast("bigint").alias("vector_id"), F.posexplode("values").alias("place", "c")).select("vector_id", "place", F.round(F.col("c").cast("double"), 6).alias("component"))
+
+
+@query(_STORED)
+def jsonl_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All valid vectors written as JSON lines and read back by the strict reader."""
+    path = _scratch(spark)
+    jsonl.write_vectors(_unit_vectors(spark, sf_dir), path)
+    return _components(jsonl.read_vectors(spark, path))
+
+
+@query(_STORED)
+def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All valid vectors written as CSV and read back."""
+    path = _scratch(spark)
+    csv.write_vectors(_unit_vectors(spark, sf_dir).withColumnRenamed("vector_id", "id"), path, 64)
+    return _components(csv.read_vectors(spark, path).withColumnRenamed("id", "vector_id"))
+
+
+@query(_STORED)
+def store_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All valid vectors put into a vector store in one batch, and its rows."""
+    rows = materialise(_unit_vectors(spark, sf_dir), "rows")
+    store = VectorStore(spark, _scratch(spark), 64, max_batch=2_000_000_000, limits=ResourceLimits(vectors=1 << 40, index_bytes=1 << 60))
+    store.add_batch(rows)
+    return _components(store.rows())
+
+
+@query("""
+SELECT coalesce(dedup_epoch, 0) AS epoch, client_operation_id AS operation_id, id AS vector_id, row_number() OVER (ORDER BY received_at NULLS LAST, delivery_id) AS lsn FROM (
+  SELECT *, row_number() OVER (PARTITION BY id ORDER BY received_at NULLS LAST, delivery_id) AS v FROM (
+    SELECT *, row_number() OVER (PARTITION BY client_operation_id ORDER BY received_at NULLS LAST, delivery_id) AS o FROM add_vector_requests
+    WHERE dedup_epoch = 1 AND client_operation_id <> '' AND id IS NOT NULL AND len("values") = 64
+      AND len(list_filter("values", lambda x: x IS NOT NULL AND isfinite(x))) = 64 AND len(list_filter("values", lambda x: x <> 0)) > 0) WHERE o = 1) WHERE v = 1""")
+def durable_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log's records after a restart: the first delivery of every operation and vector of the first epoch, in order of arrival."""
+    operation, epoch = dedup.operation_key()
+    rows = read_table(spark, sf_dir, "add_vector_requests").where("dedup_epoch = 1 and client_operation_id <> ''")
+    rows = rows.select(operation.alias("operation_id"), epoch.alias("epoch"), F.col("id").alias("vector_id"), "values", "received_at", "delivery_id")
+    path, policy = _scratch(spark), durable.Policy(1, 64, 1 << 40, 1 << 50)
+    log = durable.DurableLog(spark, path, 64, policy, max_batch=20_000)
+    for i, part in enumerate(durable.arrival_slices(rows, log.max_batch)):
+        log.commit_batch(part.select("seq", "operation_id", "epoch", "vector_id", "values"), str(i))
+    again = durable.DurableLog(spark, path, 64, policy)
+    return again.records().select("epoch", "operation_id", "vector_id", "lsn")

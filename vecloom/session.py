@@ -68,15 +68,21 @@ def materialise(df: DataFrame, name: str = "stage") -> DataFrame:
     folder is removed when the process ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/vecloom-{os.getpid()}/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, name)
     counted = Observation()
     df.observe(counted, F.count(F.lit(1)).alias("rows")).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._vecloom_rows = _observed(counted)
-    atexit.register(_delete_quietly, spark, path)
     return out
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder whose content is removed when the process ends."""
+    path = f"{shared_dir(spark)}/vecloom-{os.getpid()}/{name}-{uuid.uuid4().hex}"
+    atexit.register(_delete_quietly, spark, path)
+    return path
+
+
 def _observed(counted: Observation, seconds: float = 5.0) -> int | None:
     """The observed number of rows; None if the report of it does not arrive, as it does a moment after the job."""
     end = time.monotonic() + seconds
